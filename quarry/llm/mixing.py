@@ -34,6 +34,8 @@ from .common import NOT_WHITE, cut, text_of
 
 #: Weights by the place of the source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
+#: The table of sources is broadcast up to this many rows; beyond it Spark joins it as any other table.
+MOST_BROADCAST = 10_000
 
 
 def word_count(text: str) -> Column:
@@ -94,7 +96,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows, totals = offsets(docs, id_col, text_col, source_col, buckets, seed)
     goal = targets(totals, weights, share, cap)
     plan = spark.createDataFrame([(s, n, float(goal[s]), int(goal[s] + 0.5)) for s, n in totals], "s string, source_size long, target double, words long")
-    joined = rows.join(F.broadcast(plan), F.expr("source <=> s")).drop("s")
+    plan = F.broadcast(plan) if len(totals) <= MOST_BROADCAST else plan
+    joined = rows.join(plan, F.expr("source <=> s")).drop("s")
     took = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - start))
     first, again = took(F.col("start")), took(F.col("start") + F.col("source_size"))
     at = lambda part, start: F.when(part > 0, _position(start, F.col("target"), head, tail))
