@@ -61,7 +61,7 @@ def features(text: str) -> np.ndarray:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[int], *, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(texts: list[str], labels: list[int], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
     """Places and values of the nonzero weights, and the intercept."""
     n, z = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_n = bias_z = 0.0
@@ -95,7 +95,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def fit(rows: DataFrame, **options) -> list[tuple[int, float]]:
     """Trains in one task on (id, text, y) rows; the weights, with the intercept at place -1."""
 
-    def run(keys, table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         at, w, bias = train(table.column("text").to_pylist(), table.column("y").to_pylist(), **options)
         return pa.table({"at": pa.array([-1, *at.tolist()], pa.int64()), "w": pa.array([bias, *w.tolist()], pa.float64())})
