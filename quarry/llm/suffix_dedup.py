@@ -178,7 +178,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, context, before, after, n_before, n_after): bytes to the left read backwards and bytes to the right, padded with 0xFF."""
-    by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "context", "at")).alias("places"))
+    by_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "context", "at")).alias("places")).hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "context", "before", "after", "n_before", "n_after"]
@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_of(text_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(name, text).alias("k1"), F.xxhash64(F.lit(1), text, name).alias("k2"))
-    by_doc = spans(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    by_doc = spans(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
