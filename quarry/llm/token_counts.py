@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, text_of
 
-MEMO = 400_000
+MEMO = 150_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -122,7 +122,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_col: s
     # one row for each distinct miss, by its first id; the text itself is fetched after
     first = digests.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"))).getField("id").alias("id"))
     misses = first.join(stored.select("content"), "content", "left_anti") if known else first
-    texts = rows.join(misses.select(F.col("content").alias("c"), F.col("id").alias("i")), (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("i")))
+    wanted = misses.select(F.col("content").alias("c"), F.col("id").alias("i")).hint("shuffle_hash")  # small rows to build on: the texts need no sort
+    texts = rows.join(wanted, (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("i")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
