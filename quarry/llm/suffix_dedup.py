@@ -21,7 +21,8 @@ those bytes without a gap.
    The neighbour gives the longest match to that side.
 3. If the best neighbours to the right and to the left each reach LENGTH in total
    the extents are exact; if the two longest sides cannot reach it together there
-   is nothing; what remains is compared with every context of its gram.
+   is nothing; what remains meets the contexts of its gram: by pairs
+   where they are few, else by counting equal strings of LENGTH bytes.
 4. Spans return to their document, are merged, and the rest is hashed.
 
 Strings are judged on the input.  Defined results: null text is empty; matches
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,9 @@ GRAM = 100
 SIDE = LENGTH - GRAM
 #: Positions are searched for anchors in blocks of this many.
 STEP = 1 << 22
+BLOCK = 1 << 19
+#: Grams with up to this many contexts are compared by pairs; the others by counting.
+FEW = 64
 _LOW = np.uint64((1 << 24) - 1)
 
 _rng = np.random.default_rng(20240501)
@@ -87,35 +92,41 @@ class Hashes:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, gram hashes and context hashes of a document's anchors."""
-    n = len(data)
-    if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def anchors(data: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, gram hashes, context hashes and document numbers of the anchors of documents that lie end to end in ``data``."""
+    ends = np.array([len(data)]) if ends is None else ends
+    count = len(data) - GRAM + 1
+    width, found = SIDE + 1, []
+    if count < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         first = Hashes(data, 0)
-        count = n - GRAM + 1
         grams = (first.sums[GRAM:] - first.sums[:count]) * first.inverse[:count]
-        mixed = _mix(grams)
-        width, found = SIDE + 1, []
+        mixed = _mix(grams) & ~_LOW
+        inside = np.zeros(len(data) + 1, np.int8)  # windows that begin here and stay in their document
+        begins = np.concatenate([[0], ends[:-1]])
+        long = ends - begins >= LENGTH
+        np.add.at(inside, begins[long], 1)
+        np.add.at(inside, ends[long] - LENGTH + 1, -1)
+        inside = np.cumsum(inside)[: count - width + 1].astype(bool)
         for lo in range(0, count - width + 1, STEP):
-            key = mixed[lo : min(count, lo + STEP + width - 1)] & ~_LOW
-            key |= np.arange(len(key), dtype=np.uint64)
+            key = mixed[lo : min(count, lo + STEP + width - 1)] | np.arange(min(count, lo + STEP + width - 1) - lo, dtype=np.uint64)
             m = len(key)
             padded = np.full(-(-m // width) * width, np.uint64(2**64 - 1))
             padded[:m] = key
             grid = padded.reshape(-1, width)
             ahead = np.minimum.accumulate(grid, axis=1).ravel()
             back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-            least = np.minimum(back[: m - width + 1], ahead[width - 1 : m]) & _LOW
+            least = (np.minimum(back[: m - width + 1], ahead[width - 1 : m]) & _LOW)[inside[lo : lo + m - width + 1]]
             keep = np.ones(len(least), bool)
             keep[1:] = least[1:] != least[:-1]
             found.append(least[keep].astype(np.int64) + lo)
         at = np.unique(np.concatenate(found))
+        doc = np.searchsorted(ends, at, side="right")
         second = Hashes(data, 1)
-        lo, hi = np.maximum(at - SIDE, 0), np.minimum(at + GRAM + SIDE, n)
+        lo, hi = np.maximum(at - SIDE, begins[doc]), np.minimum(at + GRAM + SIDE, ends[doc])
         context = _mix(second.of(lo, hi) ^ _mix((at - lo).astype(np.uint64) * np.uint64(1009) + (hi - at).astype(np.uint64)))
-    return at, grams[at], context
+    return at, grams[at], context, doc
 
 
 def multikey_quicksort(rows: np.ndarray) -> np.ndarray:
@@ -154,26 +165,23 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "at", "rest", "gram", "context"]
         for batch in batches:
-            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = np.frombuffer(text.as_buffer(), np.uint8) if text.as_buffer() is not None else np.zeros(0, np.uint8)
-                at, gram, context = anchors(data)
-                m = len(at)
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k1)), pa.array(np.full(m, k2)), pa.array(at.astype(np.int32)), pa.array((len(data) - at).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["k1", "k2", "at", "rest", "gram", "context"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in run(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return docs.select("k1", "k2", "text").mapInArrow(joined, "k1 long, k2 long, at int, rest int, gram long, context long")
+            k1, k2, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(sizes) // BLOCK  # documents are taken in blocks of about this many bytes
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                ends = np.cumsum(sizes[a:b])
+                data = np.frombuffer(b"".join(t.as_buffer() for t in texts[a:b]), np.uint8)
+                at, gram, context, doc = anchors(data, ends)
+                begin = ends[doc] - sizes[a:b][doc]
+                columns = [k1[a:b][doc], k2[a:b][doc], (at - begin).astype(np.int32), (ends[doc] - at).astype(np.int32), gram.view(np.int64), context.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, at int, rest int, gram long, context long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -267,10 +275,34 @@ def _neighbours(contexts: DataFrame, side: str, other: str) -> DataFrame:
     return out
 
 
+def _counted(contexts: DataFrame, both: DataFrame, open_: DataFrame) -> DataFrame:
+    """As ``_compared``, for grams with many contexts: counts equal strings of LENGTH bytes instead of meeting pairs.
+
+    With l bytes before the gram and SIDE - l after it, a string is settled by l; a context can only share
+    those within its best extents.  Rows are contexts times their few l, and equal ones are summed map-side."""
+    asked = open_.groupBy("gram").agg(F.min(SIDE - F.col("after")).alias("lo"), F.max("before").alias("hi"))
+    own = both.join(asked, "gram").join(open_.select("gram", "context", F.lit(True).alias("open")), ["gram", "context"], "left")
+    own = own.select("gram", "context", "open", F.greatest("lo", SIDE - F.col("after")).cast("int").alias("lo"), F.least("hi", "before").cast("int").alias("hi")).where("lo <= hi")
+    strings = contexts.join(own, ["gram", "context"]).withColumn("l", F.explode(F.sequence("lo", "hi")))
+    left, right = F.substring(F.col("before"), F.lit(1), F.col("l")), F.substring(F.col("after"), F.lit(1), SIDE - F.col("l"))
+    strings = strings.select("gram", "context", "open", "l", F.xxhash64("gram", "l", left, right).alias("h1"), F.xxhash64(F.lit(1), right, left, "l", "gram").alias("h2"))
+    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    hit = strings.where("open").join(twice, ["h1", "h2"])
+    return hit.groupBy("gram", "context").agg(F.max("l").cast("long").alias("n_before"), F.max(SIDE - F.col("l")).cast("long").alias("n_after"))
+
+
 def _compared(contexts: DataFrame, open_: DataFrame) -> DataFrame:
     """(gram, context, n_before, n_after): exact extents of the few anchors that their neighbours do not settle."""
-    mine = contexts.join(open_.select("gram", "context"), ["gram", "context"]).select("gram", *[F.col(c).alias(f"my_{c}") for c in ("context", "before", "after", "n_before", "n_after")])
-    pairs = mine.join(contexts, "gram").where("context != my_context")
+    # A pair that reaches LENGTH shares at least SIDE - (the other side's best) on each side.  Contexts meet
+    # on the bytes of that much, rounded down to few sizes, so a common gram is not expanded into its pairs.
+    coarse = lambda n: F.when(n < 25, n).otherwise(n - n % 25).cast("int")
+    least = lambda best: coarse(F.greatest(F.lit(0), F.lit(SIDE) - F.col(best)))
+    want = open_.select("gram", "context", least("after").alias("t"), least("before").alias("u"))
+    keyed = contexts.join(want.select("gram", "t", "u").distinct(), "gram")
+    keyed = keyed.withColumn("meet", F.xxhash64("gram", "t", "u", F.substring(F.col("before"), F.lit(1), F.col("t")), F.substring(F.col("after"), F.lit(1), F.col("u"))))
+    mine = keyed.join(want, ["gram", "context", "t", "u"]).select("gram", "meet", *[F.col(c).alias(f"my_{c}") for c in ("context", "before", "after", "n_before", "n_after")])
+    contexts = keyed.drop("t", "u")
+    pairs = mine.join(contexts, ["gram", "meet"]).where("context != my_context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +319,7 @@ def _compared(contexts: DataFrame, open_: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "gram long, context long, n_before long, n_after long").groupBy("gram", "context").agg(F.max("n_before").alias("n_before"), F.max("n_after").alias("n_after"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, few_contexts: int = FEW) -> DataFrame:
     """(k1, k2, lo, hi) for rows (k1, k2, text); spans of a document may overlap."""
     rows = _anchor_rows(docs)
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
@@ -303,18 +335,20 @@ def spans(docs: DataFrame) -> DataFrame:
     settled = both.where("after_whole and before_whole").select("gram", "context", F.col("before").alias("n_before"), F.col("after").alias("n_after"))
     open_ = both.where("not (after_whole and before_whole)")
     if not open_.isEmpty():
-        settled = settled.unionByName(_compared(contexts, open_))
+        sizes = by_context.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        few, many = (open_.join(sizes.where(w).select("gram"), "gram", "left_semi") for w in (f"n <= {few_contexts}", f"n > {few_contexts}"))
+        settled = settled.unionByName(_compared(contexts, few)).unionByName(_counted(contexts, both, many))
     again = by_context.where("n > 1").select("gram", "context")
     partly = mixed.join(settled, ["gram", "context"]).select("k1", "k2", (F.col("at") - F.col("n_before")).cast("int").alias("lo"), (F.col("at") + GRAM + F.col("n_after")).cast("int").alias("hi"))
     return whole(shared.where("not mixed")).union(whole(mixed.join(again, ["gram", "context"], "left_semi"))).union(partly)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_contexts: int = FEW) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary's hex SHA-256, spans) for every row."""
     text = text_of(text_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(name, text).alias("k1"), F.xxhash64(F.lit(1), text, name).alias("k2"))
-    by_doc = spans(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).hint("shuffle_hash")
+    by_doc = spans(keyed, few_contexts).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
