@@ -35,7 +35,7 @@ from .common import text_of
 #: Slots of the literal rank map.
 SLOTS = 1 << 16
 #: Words held in a worker's memo; it is emptied when full.
-MEMO = 400_000
+MEMO = 200_000
 NO_RANK = 2**31 - 1
 
 

@@ -30,7 +30,7 @@ BITS = 20
 #: Labelled rows that training reads at most.
 MOST_ROWS = 8_000
 #: Words of a text are hashed through a memo of this size.
-MEMO = 500_000
+MEMO = 100_000
 #: Weights are broadcast; L1 keeps far fewer, and this is the bound.
 MOST_WEIGHTS = 100_000
 
