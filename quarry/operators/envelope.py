@@ -39,3 +39,35 @@ def failure(error: Exception | str, command: str) -> dict:
 def ndjson(df: DataFrame, path: str) -> None:
     """One JSON object a line, written by the executors."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+#: The columns that name an answer row's kind, and those of its two ends.
+KIND_COLUMNS = ["type", "entity_type", "caller_type", "report_type", "scenario_type"]
+ENDS = ["source", "target"]
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """One row: count, rows by kind, relation and end types, distinct files, distinct names of the ends.
+
+    Columns that the answer lacks count nothing; null and empty values do not
+    count; a map without entries is null.  Each map is counted where the rows
+    are: only types and their counts are gathered, by one row a type.
+    """
+    has = set(df.columns)
+    parts = [F.struct(F.lit("kinds").alias("of"), F.col(c).cast("string").alias("value")) for c in KIND_COLUMNS if c in has]
+    parts += [F.struct(F.lit("relation_types").alias("of"), F.col("relation_type").cast("string").alias("value")) for _ in has & {"relation_type"}]
+    for end in ENDS:
+        if f"{end}_type" in has:
+            parts.append(F.struct(F.lit(f"{end}_types").alias("of"), F.col(f"{end}_type").cast("string").alias("value")))
+        parts += [F.struct(F.lit(of).alias("of"), F.col(f"{end}_{c}").cast("string").alias("value")) for of, c in (("files", "file"), ("names", "name")) if f"{end}_{c}" in has]
+    parts += [F.struct(F.lit("files").alias("of"), F.col("file").cast("string").alias("value")) for _ in has & {"file"}]
+    maps = ["kinds", "relation_types", "source_types", "target_types"]
+    parts.append(F.struct(F.lit("rows").alias("of"), F.lit("all").alias("value")))
+    values = df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").where("value != ''").groupBy("of", "value").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct("value", "n")
+    gathered = values.agg(
+        F.coalesce(F.sum(F.when(F.col("of") == "rows", F.col("n"))), F.lit(0)).alias("count"),
+        *[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("of") == m, entry)))).alias(m) for m in maps],
+        F.count_if(F.col("of") == "files").alias("files"), F.count_if(F.col("of") == "names").alias("distinct_targets"),
+    )
+    return gathered.select("count", *[F.when(F.size(m) > 0, F.col(m)).alias(m) for m in maps], "files", "distinct_targets")
