@@ -81,8 +81,8 @@ def report_edges(found: DataFrame, path_col: str = "path") -> DataFrame:
     """(file, source_type, source, target_type, target, relation_type, line_number) within each report.
 
     A form has its fields and parameters; a query uses the parameters whose names
-    it holds as ``%name!``, ``:name`` or ``@name``; a routine runs the queries
-    whose component its text names.
+    its text holds, in longer words too; a routine runs the queries whose
+    component its text names in that way.
     """
     r = found.withColumn("file", F.col(path_col))
     name = F.coalesce("name", forms.base_name(path_col))
@@ -93,8 +93,8 @@ def report_edges(found: DataFrame, path_col: str = "path") -> DataFrame:
     )
     has = heads.join(held, "file").withColumn("source_type", F.lit("report_form")).select(*shape)
     queries = r.where("kind = 'fragment'").select("file", F.col("name").alias("query"), F.lower("text").alias("sql"), F.col("line_start").alias("line_number"))
-    params = r.where("kind = 'param' and name != ''").select("file", F.col("name").alias("target"), F.lower("name").alias("p"))
-    held_name = F.expr(r"contains(sql, concat('%', p, '!')) or regexp_like(sql, concat('[:@]\\Q', p, '\\E(?![a-z0-9_])'))")
+    params = r.where("kind = 'param' and trim(name) != ''").select("file", F.col("name").alias("target"), F.lower(F.trim("name")).alias("p"))
+    held_name = F.expr("contains(sql, p)")
     uses = queries.join(params, "file").where(held_name)
     uses = uses.select("file", F.lit("query_fragment").alias("source_type"), F.col("query").alias("source"), F.lit("report_param").alias("target_type"), "target", F.lit("uses_param").alias("relation_type"), "line_number")
     routines = r.where("kind = 'function'").select("file", F.col("name").alias("source"), F.lower("text").alias("body"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import dictionary, graph, huffman, lookup, predicates, ratings, sorting, text
+from ..operators import dictionary, edges, graph, huffman, lookup, predicates, ratings, sorting, sqltext, text, units
 from ..sources import tables as T
+from . import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -515,6 +516,41 @@ def exec_targets(spark, d):
     return T.read(spark, d, "documents").where(t.contains("licensed under")).select("doc_id", F.concat(F.lit("["), F.array_join(F.transform(found, lambda x: F.when(x.contains(" "), F.concat(F.lit(""), x)).otherwise(x)), ", "), F.lit("]")).alias("targets"))
 
 
+# --- extractors, over our own small files --------------------------------------------------------
+
+
+def _sql_files(spark) -> DataFrame:
+    return spark.createDataFrame([("deals.sql", samples.SQL), ("log.sql", samples.CALLED)], "path string, text string")
+
+
+@query()
+def sql_extract(spark, d):
+    return sqltext.scripts(_sql_files(spark))
+
+
+@query()
+def select_into_types(spark, d):
+    found = sqltext.scripts(_sql_files(spark)).where("kind = 'column_definition'")
+    return sqltext.typed(found.where("context = 'select_into'"), found.where("context != 'select_into'"), F.desc("path"), F.desc("line_start"))
+
+
+@query()
+def sql_edges(spark, d):
+    return sqltext.procedure_edges(sqltext.scripts(_sql_files(spark)), "path", F.desc("path"))
+
+
+@query()
+def pas_extract(spark, d):
+    return units.units(spark.createDataFrame([("deals.pas", samples.UNIT)], "path string, text string"))
+
+
+@query()
+def pas_edges(spark, d):
+    pieces = pas_extract(spark, d).where("kind = 'fragment'").select("path", F.col("value").alias("text"), "line_start")
+    procedures = sqltext.scripts(_sql_files(spark)).where("kind = 'procedure'").select("path", "name")
+    return edges.fragment_edges(pieces, procedures, F.desc("path"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

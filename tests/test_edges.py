@@ -25,7 +25,7 @@ def test_macro_edges(spark):
     } and len(got) == 4
 
 
-TPR = "[Fields]\n@Sum@ = Field{src}\n%Date!=Param{1, date}\n%Da!=Param{1, date}\n@Main@ = SQL{\nselect 1 where d = %Date!\n}"
+TPR = "[Fields]\n@Sum@ = Field{src}\n%Date!=Param{1, date}\n%Da!=Param{1, date}\n%Dx!=Param{1, date}\n@Main@ = SQL{\nselect 1 where d = %Date!\n}"
 RPT = "object R: TReport\n  Script.Strings = (\n    'Sub One()'\n    'h.Run'\n    'End Sub'\n  )\n  object H: TDsHugeBox\n    Lines.Strings = (\n      'select 1 from t')\n  end\nend\n"
 
 
@@ -33,8 +33,8 @@ def test_report_edges(spark):
     found = forms.sectioned_reports(spark.createDataFrame([("p/a.tpr", TPR)], "path string, text string")).union(forms.object_reports(spark.createDataFrame([("p/b.rpt", RPT)], "path string, text string")))
     got = {(r.file, r.source_type, r.source, r.target, r.relation_type) for r in edges.report_edges(found).collect()}
     assert got == {
-        ("p/a.tpr", "report_form", "a", "Sum", "has_field"), ("p/a.tpr", "report_form", "a", "Date", "has_param"), ("p/a.tpr", "report_form", "a", "Da", "has_param"),
-        ("p/a.tpr", "query_fragment", "Main", "Date", "uses_param"), ("p/b.rpt", "vb_function", "One", "H", "executes_query"),
+        ("p/a.tpr", "report_form", "a", "Sum", "has_field"), ("p/a.tpr", "report_form", "a", "Date", "has_param"), ("p/a.tpr", "report_form", "a", "Da", "has_param"), ("p/a.tpr", "report_form", "a", "Dx", "has_param"),
+        ("p/a.tpr", "query_fragment", "Main", "Date", "uses_param"), ("p/a.tpr", "query_fragment", "Main", "Da", "uses_param"), ("p/b.rpt", "vb_function", "One", "H", "executes_query"),
     }
 
 

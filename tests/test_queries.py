@@ -34,3 +34,15 @@ def test_entry_and_guard(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries())
+
+
+def test_extractor_queries(spark):
+    run = lambda name: plans.QUERIES[name](spark, SF).collect()
+    assert {(r.name, r.value) for r in run("select_into_types")} == {("DealID", "DSIDENTIFIER"), ("Total", "DSMONEY"), ("Brief", "DSBRIEFNAME")}
+    assert {(r.source, r.target, r.relation_type) for r in run("sql_edges")} == {
+        ("CloseDeals", "LogClosed", "calls_procedure"), ("CloseDeals", "pClosed", "selects_from"), ("CloseDeals", "tDeal", "selects_from"), ("CloseDeals", "tClient", "selects_from"),
+        ("CloseDeals", "tDeal", "updates"), ("LogClosed", "tLog", "inserts_into"),
+    }
+    assert {(r.kind, r.name) for r in run("sql_extract") if r.kind in ("procedure", "index", "call")} == {("procedure", "CloseDeals"), ("procedure", "LogClosed"), ("index", "XPKtDeal"), ("call", "LogClosed")}
+    assert {(r.kind, r.name) for r in run("pas_extract") if r.kind in ("unit", "class", "field")} == {("unit", "Deals"), ("class", "TDeals"), ("field", "FCount")}
+    assert {(r.target, r.relation_type) for r in run("pas_edges")} == {("tDeal", "references_table")}
