@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import edges, forms
+from quarry.operators import edges, forms, sqltext
 
 SQL = "create proc Pay\nas\nAPI_CREATE_PROC(BillPay)\nAPI_INIT_EVENT(Paid, 1)\nAPI_EXEC(x, Check) API_EXEC(Other)\nexec @RetVal = Sub @ProcessID = @GlobalProcessID\n"
 PROCEDURES = [("a.t01", "Pay"), ("b.sql", "PAY"), ("c.sql", "Sub")]
@@ -49,3 +49,13 @@ def test_every_language(spark):
     found = edges.by_language(files)
     assert {k: sorted(r.kind for r in v.collect()) for k, v in found.items() if k in ("SQL", "H", "PAS", "JS")} == {"SQL": ["fragment", "table"], "H": ["define"], "PAS": ["unit"], "JS": []}
     assert set(found) == set(edges.EXTRACTORS) and all("path" in v.columns for v in found.values())
+
+
+def test_subscriber_and_parent_edges(spark):
+    text = "create proc Pay\nas\nbegin\nexec Sub\n  @ProcessID = @GlobalProcessID\nend\n\n\n\nexec Sub 1\n"
+    files = spark.createDataFrame([("a.t01", text), ("a.sql", text), ("c.sql", "create proc SUB\nas\nselect 1 from t"), ("n.t01", None)], "path string, text string")
+    found = sqltext.scripts(files)
+    assert [tuple(r) for r in edges.subscriber_edges(files, found, F.desc("path")).collect()] == [("a.t01", "Pay", "SUB", "dispatches_to_subscriber", 4)]
+    pieces = spark.createDataFrame([("u.pas", "Load", "method", 5), ("u.pas", "Load", "property", 6), ("u.pas", None, "method", 7)], "path string, method_name string, context string, line_start int")
+    assert {(r.source, r.relation_type, r.line_number) for r in edges.parent_edges(pieces, "pas_method", "method_name").collect()} == {("Load", "builds_query", 5), ("Load", "executes_query", 6)}
+    assert edges.parent_edges(pieces, "other", "method_name").count() == 0
