@@ -310,6 +310,40 @@ def test_near_dedup_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == classes_by_force(texts)
 
 
+def edited(r, base, edits, words):
+    copy = list(base)
+    for k in r.sample(range(len(base)), edits):
+        copy[k] = r.choice(words)
+    return copy
+
+
+def test_near_dedup_scattered_edits(spark):
+    """Pairs down to the threshold, of every length."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(20000)]
+    texts, at = [], []
+    for n in [5, 6, 7, 8, 9, 10, 12, 14, 15, 18, 25, 40, 80, 120, 200, 400] * 3:
+        for share in (0.1, 0.15, 0.19):
+            base = [r.choice(words) for _ in range(n)]
+            at.append(len(texts))
+            texts += [" ".join(base), " ".join(edited(r, base, max(1, int(share * n)), words))]
+    got = {x.id: x.class_id for x in near_dedup.classes(docs_of(spark, texts)).collect()}
+    assert [i for i in at if got[i] != got[i + 1]] == []
+
+
+def test_near_dedup_copies_within_a_passage(spark):
+    """Near copies among texts that all share half of their words."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(20000)]
+    fresh = lambda n: [r.choice(words) for _ in range(n)]
+    passage, texts = fresh(100), []
+    texts += [" ".join(passage + fresh(100)) for _ in range(600)]
+    bases = [fresh(100) for _ in range(20)]
+    texts += [" ".join(passage + edited(r, b, 15, words)) for b in bases for _ in range(3)]
+    got = {x.id: x.class_id for x in near_dedup.classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_force(texts)
+
+
 def test_near_dedup_odd(spark):
     assert near_dedup.classes(docs_of(spark, ODD).limit(0)).count() == 0
     out = near_dedup.keep_one(docs_of(spark, ODD))
