@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ from .common import text_of
 SLOTS = 1 << 16
 #: Words held in a worker's memo; it is emptied when full.
 MEMO = 200_000
+#: Words of more bytes are folded with a heap, and not kept in the memo.
+LONG = 64
 NO_RANK = 2**31 - 1
 
 
@@ -48,6 +51,8 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: the ranked merges folded over its bytes."""
     if (whole := ranks.get(word)) is not None:
         return [whole]
+    if len(word) > LONG:
+        return _fold_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
     pairs = [ranks.get(parts[i] + parts[i + 1], NO_RANK) for i in range(len(parts) - 1)]
     while pairs and (least := min(pairs)) != NO_RANK:
@@ -61,6 +66,31 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges with a heap of pairs, in n log n steps: ``end`` has the end of the part that begins at each place, -1 within a part."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and end[i] < n and (rank := ranks.get(word[i : end[end[i]]])) is not None:
+            heapq.heappush(heap, (rank, i, end[end[i]]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, e = heapq.heappop(heap)
+        j = end[i]
+        if 0 < j < n and end[j] == e:  # else one of the two parts has merged meanwhile
+            end[i], end[j] = e, -1
+            if e < n:
+                before[e] = i
+            offer(i)
+            offer(before[i])
+    starts = [i for i in range(n) if end[i] > 0]
+    return [ranks[word[i : end[i]]] for i in starts]
+
+
 class Codec:
     """Encodes and decodes texts with one rank file and pattern."""
 
@@ -76,7 +106,9 @@ class Codec:
         for word in self.words(text):
             found = memo.get(word)
             if found is None:
-                found = memo[word] = fold(word.encode(), ranks)
+                found = fold(word.encode(), ranks)
+                if len(word) <= LONG:
+                    memo[word] = found
             out += found
         return out
 

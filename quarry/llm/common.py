@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +22,14 @@ def text_of(column: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, one of our own in the warehouse, which a cluster shares too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
         found = context._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
-        named = os.path.join(tempfile.gettempdir(), "quarry-checkpoints")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quarry-checkpoints"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named)
     return named

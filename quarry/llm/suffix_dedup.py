@@ -52,6 +52,8 @@ STEP = 1 << 22
 BLOCK = 1 << 19
 #: Grams with up to this many contexts are compared by pairs; the others by counting.
 FEW = 64
+#: A range of the suffix sorts holds about so many contexts (of some 700 bytes) at most; sorting takes a few times their bytes.
+MOST_RANGE = 50_000
 _LOW = np.uint64((1 << 24) - 1)
 
 _rng = np.random.default_rng(20240501)
@@ -212,7 +214,7 @@ _KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32
 
 def _neighbours(contexts: DataFrame, side: str, other: str) -> DataFrame:
     """(gram, context, reach, whole): the longest match on ``side`` with another context of the gram, and whether a neighbour with that match reaches LENGTH."""
-    parts = partitions(contexts.sparkSession)
+    parts = max(partitions(contexts.sparkSession), -(-contexts.count() // MOST_RANGE))
     ranged = contexts.repartitionByRange(parts, "gram", side, other)
     n_side, n_other = f"n_{side}", f"n_{other}"
 
@@ -323,7 +325,8 @@ def spans(docs: DataFrame, few_contexts: int = FEW) -> DataFrame:
     """(k1, k2, lo, hi) for rows (k1, k2, text); spans of a document may overlap."""
     rows = _anchor_rows(docs)
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
-    shared = cut(rows.join(grams, "gram"), "shared-anchors")
+    # written first, so that the join's rows are dealt out afresh and those of a very common gram can be split
+    shared = cut(rows.join(cut(grams, "shared-grams"), "gram"), "shared-anchors")
     whole = lambda d: d.select("k1", "k2", (F.col("at") - F.least(F.lit(SIDE), F.col("at"))).alias("lo"), (F.col("at") + F.least(F.lit(GRAM + SIDE), F.col("rest"))).alias("hi"))
     mixed = shared.where("mixed")
     by_context = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one"))

@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import scratch, text_of
 
 MEMO = 150_000
+#: Longer words are not kept in the memo.
+LONG = 64
 
 
 def tokenizer_digest(path: str) -> str:
@@ -91,7 +93,9 @@ class Counter:
         for word in self.words(text.lower()):
             n = memo.get(word)
             if n is None:
-                n = memo[word] = self.library(word)
+                n = self.library(word)
+                if len(word) <= LONG:
+                    memo[word] = n
             total += n
         return total
 

@@ -2,7 +2,8 @@
 
 Features are the presence of lower-cased words, word pairs and pairs with one
 word between, hashed to 2^20 places.  Training runs in one task over a bounded
-sample of labelled rows (``most_rows``, chosen by hash, a documented parameter):
+sample of labelled rows (at most ``most_rows`` of them and ``most_bytes`` of
+text, chosen by hash; both are parameters):
 per-coordinate learning rates and L1 give a sparse weight vector of a few
 thousand entries at most, which is what is broadcast to score every text whole.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .common import text_of
 BITS = 20
 #: Labelled rows that training reads at most.
 MOST_ROWS = 8_000
+#: Bytes of text that training holds at most.
+MOST_BYTES = 256 << 20
 #: Words of a text are hashed through a memo of this size.
 MEMO = 100_000
 #: Weights are broadcast; L1 keeps far fewer, and this is the bound.
@@ -61,7 +64,7 @@ def features(text: str) -> np.ndarray:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[int], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(texts: Iterable[str], labels: list[int], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
     """Places and values of the nonzero weights, and the intercept."""
     n, z = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_n = bias_z = 0.0
@@ -92,36 +95,55 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
 
-def fit(rows: DataFrame, **options) -> list[tuple[int, float]]:
-    """Trains in one task on (id, text, y) rows; the weights, with the intercept at place -1."""
+def fit(rows: DataFrame, most_bytes: int = MOST_BYTES, **options) -> list[tuple[int, float]]:
+    """Trains in one task on (id, text, y) rows; the weights, with the intercept at place -1.
+
+    Rows are taken in the order of their ids' hashes until their texts reach ``most_bytes``."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
-        at, w, bias = train(table.column("text").to_pylist(), table.column("y").to_pylist(), **options)
+        texts, left = table.column("text"), most_bytes
+        chosen = []
+        for at in sorted(range(table.num_rows), key=lambda i: (zlib.crc32(str(table.column("id")[i].as_py()).encode()), i)):
+            left -= len(texts[at].as_buffer() or b"")
+            if left < 0:
+                break
+            chosen.append(at)
+        table = table.take(pa.array(sorted(chosen), pa.int64()))
+        at, w, bias = train((t.as_py() for t in table.column("text")), table.column("y").to_pylist(), **options)
         return pa.table({"at": pa.array([-1, *at.tolist()], pa.int64()), "w": pa.array([bias, *w.tolist()], pa.float64())})
 
-    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "at long, w double").limit(MOST_WEIGHTS + 1).collect()
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "at long, w double").limit(MOST_WEIGHTS + 2).collect()
+    if len(found) > MOST_WEIGHTS + 1:
+        raise ValueError(f"more than {MOST_WEIGHTS} weights: raise l1")
     return [(r.at, r.w) for r in found]
 
 
+class Scorer:
+    """The score of a text by given weights."""
+
+    def __init__(self, weights: list[tuple[int, float]]):
+        self.bias = sum(w for at, w in weights if at < 0)
+        self.dense = np.zeros(1 << BITS)
+        for at, w in weights:
+            if at >= 0:
+                self.dense[at] = w
+        self.on = self.dense != 0
+
+    def __call__(self, text: str | None) -> float:
+        at = features(text or "")
+        total = self.bias + self.dense[np.unique(at[self.on[at]])].sum()
+        return float(1 / (1 + math.exp(-max(-35.0, min(35.0, total)))))
+
+
 def score(docs: DataFrame, weights: list[tuple[int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row."""
-    bias = sum(w for at, w in weights if at < 0)
-    places = np.array([at for at, _ in weights if at >= 0], np.int64)
-    values = np.array([w for at, w in weights if at >= 0])
-    shared = docs.sparkSession.sparkContext.broadcast((bias, places, values))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, places, values = shared.value
-        w = np.zeros(1 << BITS)
-        w[places] = values
-        on = w != 0
+        scorer = Scorer(shared.value)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                at = features(text.as_py())
-                out.append(bias + w[np.unique(at[on[at]])].sum())
-            s = 1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35)))
+            s = [scorer(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -137,23 +159,14 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, *
     return fit(sample(docs, labels.where(~held_out()), most_rows=most_rows), **options)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with their columns; the score is taken in the same pass as the row."""
-    weights = fit_labels(docs, labels, **options)
-    bias = sum(w for at, w in weights if at < 0)
-    shared = docs.sparkSession.sparkContext.broadcast((bias, [at for at, _ in weights if at >= 0], [w for at, w in weights if at >= 0]))
-    place = docs.columns.index("text")
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that score under 0.5, with their columns; the score is taken in the same pass as the row."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_labels(docs, labels, **options))
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, places, values = shared.value
-        w = np.zeros(1 << BITS)
-        w[np.array(places, np.int64)] = values
-        on = w != 0
+        scorer = Scorer(shared.value)
         for batch in batches:
-            keep = []
-            for text in batch.column(place):
-                at = features(text.as_py() or "")
-                keep.append(bool(bias + w[np.unique(at[on[at]])].sum() < 0))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([scorer(text.as_py()) < 0.5 for text in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

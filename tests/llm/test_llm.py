@@ -136,6 +136,16 @@ def test_toxicity_learns_words_and_ignores_held_out(spark):
     assert folds == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(400)}
 
 
+def test_toxicity_keeps_no_more_weights_than_its_bound(spark, monkeypatch):
+    docs = docs_of(spark, [f"word{i} vile" if i % 2 else f"word{i} fine" for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MOST_WEIGHTS", 1)
+    with pytest.raises(ValueError):
+        toxicity.fit_labels(docs, labels, l1=0.0)
+    monkeypatch.undo()
+    assert len(toxicity.fit_labels(docs, labels, most_bytes=0)) == 1
+
+
 def test_toxicity_odd(spark):
     docs = docs_of(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -147,13 +157,61 @@ def test_toxicity_odd(spark):
 # --- 4 mixing -----------------------------------------------------------------------------------
 
 
+def targets_by_hand(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    order = sorted((s for s, _ in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * any(s is None for s, _ in sizes)
+    size, weight = dict(sizes), {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, out = share * sum(size.values()), list(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total >= cap * size[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: float(cap * size[s]) for s in over}
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_mixing_positions_invert_the_integral(spark):
+    """Against a fine sum of each source's schedule; sources' shares change over time."""
+    r = random.Random(12)
+    docs = docs_of(spark, ["w " * r.randint(1, 30) for _ in range(2000)], sources=[f"s{i % 5}" for i in range(2000)])
+    rows = mixing.mix(docs).collect()
+    names = sorted({x.source for x in rows})
+    steps = np.linspace(0, 1, 200_001)
+    early, late = Counter(), Counter()
+    for i, name in enumerate(names):
+        knots = mixing.SCHEDULES[i % len(mixing.SCHEDULES)]
+        rate = np.interp(steps, *zip(*knots))
+        demand = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        own = [x for x in rows if x.source == name]
+        taken = [(x.position, x.taken_first) for x in own if x.position is not None] + [(x.position_again, x.taken_again) for x in own if x.position_again is not None]
+        begin = 0
+        for at, words in sorted(taken):
+            assert abs(np.interp(at, steps, demand / demand[-1]) - begin / own[0].target) < 1e-6
+            begin += words
+            early[name] += words * (at < 0.25)
+            late[name] += words * (at >= 0.75)
+    share = lambda c, n: c[n] / sum(c.values())
+    assert share(early, "s0") > 1.2 * share(late, "s0") and share(late, "s1") > 1.2 * share(early, "s1")
+
+
+@pytest.mark.parametrize("share,cap", [(0.05, 2.0), (1.5, 2.0), (2.0, 2.0), (1.2, 1.3)])
+def test_mixing_targets(spark, share, cap):
+    r = random.Random(13)
+    sizes = [(f"s{i}é" if i % 7 else f"S{i}", r.choice([0, 1, 5, 1000, 100_000]) * r.randint(1, 9)) for i in range(60)] + [(None, 77), ("\U0001f642", 9), ("\uffff", 8)]
+    got = mixing.with_targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(5), share=share, cap=cap).collect()
+    want = targets_by_hand(sizes, share=share, cap=cap)
+    assert {x.source: round(x.target, 4) for x in got} == {s: round(want[s], 4) for s, _ in sizes}
+
+
 def test_mixing_contract(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.mix(rows).collect()
     size = Counter()
     for r in got:
         size[r.source] += r.size
-    goal = mixing.targets(list(size.items()))
+    goal = targets_by_hand(list(size.items()))
     taken = Counter()
     for r in got:
         taken[r.source] += r.taken
@@ -168,7 +226,7 @@ def test_mixing_odd(spark):
     docs = docs_of(spark, ODD, sources=["b", None, "a", "b", "a", None, "é", "b", "a", "é", None, "a"])
     assert mixing.mix(docs).count() == len(ODD) and mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.targets([("a", 100), ("b", 10), (None, 10)]) == {"b": 20.0, "a": pytest.approx(180 - 20 - 20 + 0.0, abs=20), None: pytest.approx(20, abs=20)}
+    assert targets_by_hand([("a", 100), ("b", 10), (None, 10)]) == {"b": 20.0, "a": pytest.approx(180 - 20 - 20 + 0.0, abs=20), None: pytest.approx(20, abs=20)}
 
 
 # --- 5 suffix dedup -----------------------------------------------------------------------------
@@ -226,6 +284,24 @@ def test_token_cache_encodes_misses_only(spark, tmp_path):
     assert spark.read.parquet(cache).count() == 3 and {r.id: r.n_tokens for r in got} == {0: 1, 1: 3, 2: 1}
 
 
+def test_bpe_of_a_very_long_word():
+    ranks, r = bpe.read_ranks(RANKS), random.Random(5)
+    for _ in range(200):
+        word = "".join(r.choice("aehinorst é") for _ in range(r.randint(1, 90))).encode()
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            known = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not known:
+                break
+            i = min(known)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        want = [ranks[word]] if word in ranks else [ranks[p] for p in parts]
+        assert bpe.fold(word, ranks) == want
+        assert word in ranks or bpe._fold_long(word, ranks) == want
+    pieces = {i: p for p, i in ranks.items()}
+    assert b"".join(pieces[i] for i in bpe.fold(b"xyzzy" * 40_000, ranks)) == b"xyzzy" * 40_000
+
+
 def test_bpe_is_the_library(spark, small):
     import tiktoken
 
