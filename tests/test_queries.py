@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quarry.plans import named_queries
 from quarry.plans import queries as plans
 from quarry.sources.tables import NAMES
 
@@ -29,6 +30,14 @@ def test_matches_sql(spark, duck, name):
     assert rows(df.select(*names).collect()) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(named_queries.SQL))
+def test_named_matches_sql(spark, duck, name):
+    df = named_queries.QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    want = duck.execute(f"select {', '.join(chr(34) + n + chr(34) for n in names)} from ({named_queries.SQL[name]})").fetchall()
+    assert rows(df.select(*names).collect()) == rows(want) and want
+
+
 def test_entry_and_guard(spark):
     import __spark_entry__ as entry
 
