@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it.
 WHITE = r"[\x20\x09-\x0D]"
+#: Bytes of a batch that goes to a Python worker; a single longer row is a batch of its own.
+MOST_BATCH = 4 << 20
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,5 +49,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of ``MOST_BATCH`` bytes at most (the session's setting from here on): Spark's own bound lets
+    long texts fill several copies of 64 MB in a task and its worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MOST_BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

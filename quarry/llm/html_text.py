@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import html_pages
-from .common import text_of
+from .common import in_arrow, text_of
 
 # Elements of HTML.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -274,4 +274,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     rows = pages.select(F.col(id_col).alias("id"), *keep, text_of(html_col).alias("__html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + ", text string")
+    return rows.transform(in_arrow, run, fields + ", text string")

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_of
+from .common import cut, in_arrow, partitions, text_of
 
 LENGTH = 400
 GRAM = 100
@@ -183,7 +183,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 columns = [k1[a:b][doc], k2[a:b][doc], (at - begin).astype(np.int32), (ends[doc] - at).astype(np.int32), gram.view(np.int64), context.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, at int, rest int, gram long, context long")
+    return docs.select("k1", "k2", "text").transform(in_arrow, run, "k1 long, k2 long, at int, rest int, gram long, context long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names)
 
-    return docs.join(by_doc, ["k1", "k2"]).select("text", "places").mapInArrow(run, "gram long, context long, before binary, after binary, n_before int, n_after int")
+    return docs.join(by_doc, ["k1", "k2"]).select("text", "places").transform(in_arrow, run, "gram long, context long, before binary, after binary, n_before int, n_after int")
 
 
 _KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
@@ -256,7 +256,7 @@ def _neighbours(contexts: DataFrame, side: str, other: str) -> DataFrame:
         body += [pa.array(ends[0], pa.binary()), pa.array(ends[1], pa.binary()), pa.array(n_near, pa.int32()), pa.array(n_far, pa.int32())]
         yield pa.RecordBatch.from_arrays(body, ["gram", "context", "reach", "whole", "bucket", "edge", "near", "far", "n_near", "n_far"])
 
-    found = cut(ranged.mapInArrow(run, "gram long, context long, reach long, whole boolean, bucket long, edge long, near binary, far binary, n_near int, n_far int"), f"neighbours-{side}")
+    found = cut(ranged.transform(in_arrow, run, "gram long, context long, reach long, whole boolean, bucket long, edge long, near binary, far binary, n_near int, n_far int"), f"neighbours-{side}")
     # the last suffix of a bucket and the first of the next one: two rows a bucket, so at most twice the number of partitions
     ends = sorted(found.where("edge > 0").collect(), key=lambda r: (r.bucket, r.edge))
     tell: dict[tuple[int, int], tuple[int, bool]] = {}
@@ -318,7 +318,7 @@ def _compared(contexts: DataFrame, open_: DataFrame) -> DataFrame:
             ok = n["before"] + n["after"] + GRAM >= LENGTH
             yield pa.RecordBatch.from_arrays([col("gram").filter(pa.array(ok)), col("my_context").filter(pa.array(ok)), pa.array(n["before"][ok].astype(np.int64)), pa.array(n["after"][ok].astype(np.int64))], ["gram", "context", "n_before", "n_after"])
 
-    return pairs.mapInArrow(run, "gram long, context long, n_before long, n_after long").groupBy("gram", "context").agg(F.max("n_before").alias("n_before"), F.max("n_after").alias("n_after"))
+    return pairs.transform(in_arrow, run, "gram long, context long, n_before long, n_after long").groupBy("gram", "context").agg(F.max("n_before").alias("n_before"), F.max("n_after").alias("n_after"))
 
 
 def spans(docs: DataFrame, few_contexts: int = FEW) -> DataFrame:
@@ -373,4 +373,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     joined = keyed.join(by_doc, ["k1", "k2"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, f"id {keyed.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
+    return joined.transform(in_arrow, run, f"id {keyed.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>")

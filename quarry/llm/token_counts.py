@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import in_arrow, scratch, text_of
 
 MEMO = 150_000
 #: Longer words are not kept in the memo.
@@ -135,7 +135,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_col: s
             n = pa.array([count(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], ["content", "n_tokens"])
 
-    counted = texts.select("content", "text").mapInArrow(run, "content binary, n_tokens long")
+    counted = texts.select("content", "text").transform(in_arrow, run, "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     # two runs at once may both have appended a count; they agree

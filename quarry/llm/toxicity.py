@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_arrow, text_of
 
 BITS = 20
 #: Labelled rows that training reads at most.
@@ -147,7 +147,7 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.transform(in_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -169,4 +169,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **opt
         for batch in batches:
             yield batch.filter(pa.array([scorer(text.as_py()) < 0.5 for text in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
