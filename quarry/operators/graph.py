@@ -27,8 +27,10 @@ def of_symbols(edges: DataFrame, wanted: DataFrame, side: str) -> DataFrame:
     return edges.join(keys, [f"{side}_type", f"{side}_id"], "left_semi")
 
 
-def reaching(edges: DataFrame, symbols: DataFrame, targets: DataFrame, direct: list[str], onward: list[str]) -> DataFrame:
-    """Who reaches the targets by one ``direct`` edge, or by an ``onward`` edge to such a one: with provenance, distinct."""
+def reaching(edges: DataFrame, symbols: DataFrame, targets: DataFrame, direct: list[str], onward: list[str], other: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """Who reaches the targets by one ``direct`` edge, or by an ``onward`` edge to such a one: with provenance, distinct.
+
+    ``other`` adds branches of their own, each by the types it joins: (source type, kind of edge, target type)."""
     one = of_symbols(edges.where(F.col("relation_type").isin(direct)), targets, "target")
     named = _named(symbols, "source")
     first = one.join(named, ["source_type", "source_id"])
@@ -36,7 +38,12 @@ def reaching(edges: DataFrame, symbols: DataFrame, targets: DataFrame, direct: l
     hops = first.select(F.col("source_type").alias("target_type"), F.col("source_id").alias("target_id"), F.col("source_name").alias("via"), F.col("relation_type").alias("then"))
     far = edges.where(F.col("relation_type").isin(onward)).join(hops, ["target_type", "target_id"]).join(named, ["source_type", "source_id"])
     far = far.select("source_id", F.col("source_name").alias("caller_name"), F.col("source_type").alias("caller_type"), "line_number", F.lit(True).alias("is_indirect"), "via", F.concat_ws("->", "relation_type", "then").alias("relation_type"))
-    return near.unionByName(far).distinct()
+    out = near.unionByName(far)
+    for source, kind, target in other:
+        ends = edges.where((F.col("relation_type") == kind) & (F.col("source_type") == source) & (F.col("target_type") == target))
+        more = of_symbols(ends, targets, "target").join(named.where(F.col("source_type") == source), ["source_type", "source_id"])
+        out = out.unionByName(more.select("source_id", F.col("source_name").alias("caller_name"), F.col("source_type").alias("caller_type"), "line_number", F.lit(False).alias("is_indirect"), F.lit("").alias("via"), "relation_type"))
+    return out.distinct()
 
 
 def path(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, str], final: DataFrame) -> DataFrame:

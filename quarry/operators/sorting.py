@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,18 @@ def ranged(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
+def placed(df: DataFrame, first: str, *rest: str, name: str = "place", parts: int = 32) -> DataFrame:
+    """Adds each row's place in the total order (a null first), without one task for all rows: ranges by bounds of the number
+    ``first``, a row number inside each, and the number of rows in the ranges before.  The driver sees a count a range."""
+    bounds = sorted(set(df.approxQuantile(first, [i / parts for i in range(1, parts)], 0.005)))
+    low = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    rows = df.withColumn("__range", F.coalesce(F.size(F.filter(low, lambda b: b <= F.col(first))), F.lit(0)))
+    counts = {r["__range"]: r["n"] for r in rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [sum(n for k, n in counts.items() if k < i) for i in range(len(bounds) + 1)]
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(first).asc_nulls_first(), *rest))
+    return rows.withColumn(name, F.element_at(F.array(*[F.lit(b) for b in before]), F.col("__range") + 1).cast("long") + inside).drop("__range")
+
+
 def digits(column: str, n: int, base: int = 10) -> list:
     """Least significant digit first, as the radix passes see them."""
     return [F.expr(f"cast(floor(`{column}` / {base ** i}) as bigint) % {base}").cast("int").alias(f"d{i}") for i in range(n)]

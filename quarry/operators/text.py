@@ -27,6 +27,32 @@ def offsets(text: Column | str, pattern: str) -> Column:
     return F.transform(step["found"], lambda i: F.octet_length(F.substring(t, F.lit(1), i - 1)))
 
 
+def occurrences(text: Column | str, pattern: str) -> Column:
+    """Number of occurrences, overlapping ones too."""
+    ahead = "(?=" + "".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in pattern) + ")"
+    return F.regexp_count(text, F.lit(ahead)).cast("long")
+
+
+def containing(texts: DataFrame, passages: DataFrame, id_col: str, passage_id: str, text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, passage id) of every text that contains a whole passage, without regard to case.
+
+    A passage of over ``words`` + 1 words is met by an equal run of ``words`` words inside it (its first and last word may
+    continue in the text), the least by hash, then compared whole.  Shorter ones are compared with every text."""
+    low = lambda df, i: df.select(F.col(i), F.lower(text_col).alias("t")).where("t is not null")
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    run = lambda w, first, count: F.transform(F.sequence(first, first + count - 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+    known = low(passages, passage_id).withColumnRenamed("t", "p").withColumn("w", split("p"))
+    inner = F.size("w") - 2 - words + 1
+    long = known.where(inner > 0).select(passage_id, "p", F.array_min(run(F.col("w"), F.lit(2), inner)).alias("key"))
+    short = known.where(inner <= 0).select(passage_id, "p")
+    docs = low(texts, id_col).withColumn("w", split("t"))
+    runs = docs.where(F.size("w") >= words).select(id_col, F.explode(F.array_distinct(run(F.col("w"), F.lit(1), F.size("w") - words + 1))).alias("key"))
+    met = runs.join(long, "key").select(id_col, passage_id, "p")
+    whole = met.join(low(texts, id_col), id_col).where(F.contains("t", "p")).select(id_col, passage_id)
+    few = docs.select(id_col, "t").join(short, F.contains("t", "p")).select(id_col, passage_id)
+    return whole.union(few)
+
+
 def naive(data: bytes, pattern: bytes) -> list[int]:
     out, i = [], data.find(pattern)
     while i >= 0:

@@ -160,10 +160,10 @@ def polymorphic_edge_details(spark, d):
     return graph.edge_details(picked, T.symbols(spark, d)).select("source_type", "source_id", "source_name", "target_type", "target_id", "target_name", "relation_type", "line_number")
 
 
-@query(f"""with {R}, {S} select r1.source_id, a.symbol_name as source_name, b.symbol_name as mid_name, c.symbol_name as end_name, r1.line_number
-from relations_v r1 join relations_v r2 on r2.source_type = r1.target_type and r2.source_id = r1.target_id and r2.relation_type = 'supplied_by' and r1.relation_type = 'contains_part'
-join symbols_v a on a.symbol_type = r1.source_type and a.entity_id = r1.source_id join symbols_v b on b.symbol_type = r2.source_type and b.entity_id = r2.source_id
-join symbols_v c on c.symbol_type = r2.target_type and c.entity_id = r2.target_id where c.entity_id = 3 and c.symbol_type = 'supplier'""")
+@query(f"""with {R}, {S}, last as (select distinct l_partkey as part_id, l_suppkey as supplier_id from lineitem where l_suppkey = 3), first as (select source_id, target_id, line_number from relations_v where relation_type = 'contains_part' and target_type = 'part')
+select f.source_id, a.symbol_name as source_name, b.symbol_name as mid_name, c.symbol_name as end_name, f.line_number
+from first f join last l on l.part_id = f.target_id join (select * from symbols_v where symbol_type = 'order') a on a.entity_id = f.source_id join (select * from symbols_v where symbol_type = 'part') b on b.entity_id = l.part_id
+join (select * from symbols_v where symbol_type = 'supplier' and entity_id = 3) c on c.entity_id = l.supplier_id""")
 def path_join_5way(spark, d):
     s = T.symbols(spark, d)
     return graph.path(T.relations(spark, d), s, ("contains_part", "supplied_by"), s.where("symbol_type = 'supplier' and entity_id = 3"))
@@ -194,9 +194,20 @@ def impl_two_hop(spark, d):
     return _reach(spark, d, "symbol_type = 'nation' and symbol_name ilike '%1%'", "located_in", "placed_by")
 
 
-@query(_reach_sql("symbol_type = 'supplier' and entity_id < 4", "supplied_by", "contains_part"))
+def _publishers_sql() -> str:
+    """The two branches and, without a hop, the customers that are located in a wanted nation: another type, taken only where its end is one."""
+    two = _reach_sql("symbol_type in ('supplier', 'nation') and entity_id < 4", "supplied_by", "contains_part")
+    third = """ union select r.source_id, s.symbol_name, r.source_type, r.line_number, false, '', r.relation_type from relations_v r join wanted t on r.target_type = t.symbol_type and r.target_id = t.entity_id
+ join symbols_v s on r.source_type = s.symbol_type and r.source_id = s.entity_id where r.relation_type = 'located_in' and r.source_type = 'customer' and t.symbol_type = 'nation') x order"""
+    return two.replace(") x order", third).replace("limit 100", "limit 300")
+
+
+@query(_publishers_sql())
 def publishers_three_branch(spark, d):
-    return _reach(spark, d, "symbol_type = 'supplier' and entity_id < 4", "supplied_by", "contains_part")
+    s = T.symbols(spark, d)
+    wanted = s.where("symbol_type in ('supplier', 'nation') and entity_id < 4")
+    found = graph.reaching(T.relations(spark, d), s, wanted, ["supplied_by"], ["contains_part"], [("customer", "located_in", "nation")])
+    return found.orderBy("is_indirect", "caller_type", "caller_name", "source_id", "via").limit(300)
 
 
 @query(f"""with {R}, {S}, w as (select * from symbols_v where symbol_type in ('nation', 'supplier')),
@@ -223,11 +234,10 @@ def union_all_tagged(spark, d):
     return c.unionByName(s, allowMissingColumns=True).withColumn("segment", F.coalesce("segment", F.lit("")))
 
 
-@query("select o_orderkey, o_orderstatus, (select string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' order by l_linenumber, l_partkey, l_suppkey) from lineitem where l_orderkey = o_orderkey) as lines from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey, o_orderstatus, lines from orders left join (select l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' order by l_linenumber, l_partkey, l_suppkey) as lines from lineitem group by l_orderkey) on l_orderkey = o_orderkey")
 def nested_children(spark, d):
-    l = T.read(spark, d, "lineitem").where("l_orderkey % 10 = 0")
-    kids = lookup.children_of(l, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], [], "c")
-    o = T.read(spark, d, "orders").where("o_orderkey % 10 = 0").join(kids, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    kids = lookup.children_of(T.read(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], [], "c")
+    o = T.read(spark, d, "orders").join(kids, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return o.select("o_orderkey", "o_orderstatus", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"], x["l_suppkey"])), ",").alias("lines"))
 
 
@@ -282,12 +292,9 @@ def fallback_resolution(spark, d):
     return lookup.resolve(p, (ids.where("id % 3 = 0"), ["p_brand", "p_size"]), (ids.where("id % 2 = 0"), ["p_brand"])).select("p_partkey", "id")
 
 
-@query("select doc_id, term from documents, (select distinct substr(text, 1, 9) as term from benchmark) where contains(lower(text), lower(term))")
+@query("select doc_id, item_id from documents, benchmark where contains(lower(documents.text), lower(benchmark.text))")
 def containment_theta(spark, d):
-    names = [r[0] for r in T.read(spark, d, "benchmark").select(F.substring("text", 1, 9)).distinct().collect()]  # a term a benchmark item
-    docs = T.read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    terms = F.array(*[F.lit(n) for n in names])
-    return docs.select("doc_id", F.explode(F.filter(terms, lambda n: F.contains(F.col("t"), F.lower(n)))).alias("term"))
+    return text.containing(T.read(spark, d, "documents"), T.read(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 @query("""select l_orderkey, sum(n)::bigint as lines, sum(q)::bigint as quantity from (select l_orderkey, 1 as n, cast(l_quantity as bigint) as q from lineitem where l_linenumber <= 3 union all select l_orderkey, 1, cast(l_quantity as bigint) from lineitem where l_linenumber > 2) group by l_orderkey""")
@@ -398,17 +405,26 @@ PATTERNS = ["the", "tion", "éc", "anan", "is it"]
 _PATTERN_LIST = ", ".join(f"('{p}')" for p in PATTERNS)
 
 
-@query(f"""with p(pattern) as (values {_PATTERN_LIST}), hits as (select doc_id, pattern, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(pattern)) = pattern)) as i, text from documents, p)
-select doc_id, pattern, count(*) as n, min(strlen(substr(text, 1, i - 1)))::bigint as first_offset, sum(strlen(substr(text, 1, i - 1)))::bigint as offset_sum from hits where length(text) < 800 group by doc_id, pattern""")
+#: Occurrences, overlapping ones too, by pieces of 100 characters that reach into the next piece.
+_HITS = f"""with p(pattern) as (values {_PATTERN_LIST}), pieces as (select doc_id, text, unnest(range(0, length(text), 100)) as k from documents),
+cut as (select doc_id, pattern, strlen(substr(text, 1, k)) as base, substr(text, k + 1, 99 + length(pattern)) as c from pieces, p),
+hits as (select doc_id, pattern, base, c, unnest(list_filter(range(1, 101), lambda i: substr(c, i, length(pattern)) = pattern)) as i from cut where contains(c, pattern))"""
+
+
+@query(f"{_HITS} select doc_id, pattern, count(*) as n, min(base + strlen(substr(c, 1, i - 1)))::bigint as first_offset, sum(base + strlen(substr(c, 1, i - 1)))::bigint as offset_sum from hits group by doc_id, pattern")
 def substring_offsets(spark, d):
-    return _offsets(spark, d, "naive")
+    docs = T.read(spark, d, "documents")
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), text.offsets("text", p).alias("offsets")) for p in PATTERNS])).alias("x")
+    return _sums(docs.select("doc_id", each).select("doc_id", "x.*").where(F.size("offsets") > 0))
 
 
-def _offsets(spark, d, method):
-    docs = T.read(spark, d, "documents").where(F.char_length("text") < 800)
-    found = text.search(docs, "doc_id", "text", PATTERNS, method)
+def _sums(found: DataFrame) -> DataFrame:
     o = F.transform("offsets", lambda x: x.cast("long"))
-    return found.select(F.col("id").alias("doc_id"), "pattern", F.size("offsets").cast("long").alias("n"), F.array_min(o).alias("first_offset"), F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a + x).alias("offset_sum"))
+    return found.select("doc_id", "pattern", F.size("offsets").cast("long").alias("n"), F.array_min(o).alias("first_offset"), F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a + x).alias("offset_sum"))
+
+
+def _offsets(spark, d, method):
+    return _sums(text.search(T.read(spark, d, "documents"), "doc_id", "text", PATTERNS, method).withColumnRenamed("id", "doc_id"))
 
 
 @query(SQL["substring_offsets"])
@@ -421,11 +437,9 @@ def dfa_offsets(spark, d):
     return _offsets(spark, d, "automaton")
 
 
-@query(f"with p(pattern) as (values {_PATTERN_LIST}) select pattern, coalesce(sum((length(text) - length(replace(text, pattern, ''))) // length(pattern)), 0)::bigint as n from p, documents group by pattern")
+@query(f"{_HITS} select pattern, count(i)::bigint as n from p left join hits using (pattern) group by pattern")
 def multi_pattern_counts(spark, d):
-    docs = T.read(spark, d, "documents")
-    n = lambda p: ((F.char_length("text") - F.char_length(F.replace("text", F.lit(p), F.lit("")))) / len(p)).cast("long")
-    sums = docs.agg(*[F.coalesce(F.sum(n(p)), F.lit(0)).alias(f"p{i}") for i, p in enumerate(PATTERNS)])
+    sums = T.read(spark, d, "documents").agg(*[F.coalesce(F.sum(text.occurrences("text", p)), F.lit(0)).alias(f"p{i}") for i, p in enumerate(PATTERNS)])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"p{i}").alias("n")) for i, p in enumerate(PATTERNS)])).alias("x")).select("x.*")
 
 
@@ -453,10 +467,9 @@ def trie_prefix(spark, d):
     return dictionary.with_prefix(dictionary.build(p, "p_name", "p_partkey", ["last_key"]), "p_name", "s")
 
 
-@query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) as place from orders order by place limit 1000")
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) as place from orders")
 def sort_total(spark, d):
-    o = sorting.stable(T.read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").limit(1000)
-    return o.withColumn("place", F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")))
+    return sorting.placed(T.read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
 @query("select o_orderkey, (o_orderkey % 10)::integer as d0, (o_orderkey // 10 % 10)::integer as d1, (o_orderkey // 100 % 10)::integer as d2 from orders")
@@ -509,11 +522,14 @@ def huffman_roundtrip(spark, d):
     return a.join(p.select(F.col("page_id").alias("id"), F.octet_length("b").cast("long").alias("bytes")), "id").select(F.col("id").alias("page_id"), "bytes", "restored")
 
 
-@query("select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), 'licensed under (the )?[a-z]+'), lambda x: x)))::varchar as targets from documents where contains(lower(text), 'licensed under')")
+@query("select p_partkey, case when p_size % 3 = 0 then '[Log' || p_partkey || ']' when p_size % 3 = 1 then '[Log' || p_partkey || ', Pay' || p_size || ']' else '[]' end as targets from part")
 def exec_targets(spark, d):
-    t = F.lower("text")
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit("licensed under (?:the )?[a-z]+"), F.lit(0))))
-    return T.read(spark, d, "documents").where(t.contains("licensed under")).select("doc_id", F.concat(F.lit("["), F.array_join(F.transform(found, lambda x: F.when(x.contains(" "), F.concat(F.lit(""), x)).otherwise(x)), ", "), F.lit("]")).alias("targets"))
+    """Procedures that SQL text calls, the text made from parts: one or two calls (another database, a result, a comment), or none."""
+    n, m = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    one = F.concat(F.lit("select 1\nexec Log"), n, F.lit(" @A = 1 -- exec Old\n"))
+    sql = F.when(F.col("p_size") % 3 == 0, one).when(F.col("p_size") % 3 == 1, F.concat(one, F.lit("execute @r = dbo.Pay"), m, F.lit(" 2"))).otherwise(F.lit("update tDeal set execution = 1"))
+    found = sqltext.scripts(T.read(spark, d, "part").select("p_partkey", sql.alias("text"))).where("kind = 'call'").groupBy("p_partkey").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return T.read(spark, d, "part").select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.concat(F.lit("["), F.coalesce(F.array_join("names", ", "), F.lit("")), F.lit("]")).alias("targets"))
 
 
 # --- extractors, over our own small files --------------------------------------------------------
