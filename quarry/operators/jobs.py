@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .extract import extract, script_rows
+from .words import Word, Words
 
 JOB = (
     "struct<kind:string,name:string,sys_name:string,type:string,value:string,brief:string,object_ref:string,module_ref:string,start_state:string,goes_into:string,"
@@ -29,7 +31,6 @@ _SETTINGS = {
     "name": r'Name\s*=\s*"([^"]+)"', "brief": r'Brief\s*=\s*"([^"]+)"', "object_ref": r"(?:InterfaceObjectID|DealObjectID)\s*=\s*(\d+|[A-Za-z_]\w*)",
     "module_ref": r"(?:DsModuleID|ModuleID)\s*=\s*(\d+|[A-Za-z_]\w*)", "start_state": rf"StartState\s*=\s*{_VALUE}",
 }
-_CONSTANT = re.compile(r"^\s*(?:(?:var|const)\s+)?([A-Za-z_]\w*)\s*=\s*(\d+|[A-Za-z_]\w*)\s*;?\s*(?://.*)?$", re.M | re.I | re.A)
 _STATE = re.compile(rf"CreateStateWithSys[Nn]ame\(\s*{_VALUE}\s*,\s*{_VALUE}\s*\)", re.A)
 _OLD_STATE = re.compile(r'CreateState\(\s*"([^"]+)"\s*\)')
 _STATE_TYPE = re.compile(r"StateType\s*=\s*(PROP_STATETYPE_\w+)", re.A)
@@ -39,9 +40,8 @@ _ACTION_SETTINGS = {
     "goes_into": re.compile(r'Into\s*\(\s*"([^"]+)"\s*\)'), "prop_val": re.compile(r"PropVal\s*=\s*(CONSUMER_ACTION_\w+|\d+)", re.A),
     "priority": re.compile(r"Priority\s*=\s*(\d+)"), "check_service": re.compile(r"CheckService\s*=\s*(CHECKSERVICE_\w+|\d+)", re.A),
 }
-_HELPER = re.compile(rf"^\s*([A-Za-z_]\w*)\s*\(\s*[A-Za-z_]\w*\s*,\s*{_VALUE}\s*\)\s*;", re.M | re.A)
 _FUNCTION = re.compile(r"function\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*\{", re.A)
-_ACCOUNT = re.compile(r"TypeAccLinkCreate\s*\(\s*(RESDEP_\w+?)\s*,\s*__ACCMASK(\w+)__", re.A)
+LINKS_ACCOUNT, ACCOUNT_KIND, ACCOUNT_MASK = "TypeAccLinkCreate", "RESDEP_", "__ACCMASK"
 AFTER_STATE, AFTER_ACTION, AFTER_OLD_ACTION = 10, 15, 20
 SCENARIO = {"CreateInstrument": "instrument_model", "CreateMassAccrualInstrument": "mass_operation"}
 
@@ -51,6 +51,18 @@ def _row(kind: str, name: str | None, start: int, end: int | None = None, **more
     return dict.fromkeys(keys) | dict(kind=kind, name=name, line_start=start, line_end=end or start) | more
 
 
+def _constants(script: str) -> Iterator[tuple[str, str, int]]:
+    """(name, value, line) of lines ``name = value``, with or without var or const: a number or another name."""
+    for number, line in enumerate(script.split("\n"), 1):
+        words = [w.text for w in Words(line.partition("//")[0])]
+        if words[:1] and words[0].lower() in ("var", "const"):
+            del words[0]
+        if words[-1:] == [";"]:
+            words.pop()
+        if len(words) == 3 and words[1] == "=" and Word(words[0], 0).name and (words[2].isdigit() or Word(words[2], 0).name):
+            yield words[0], words[2], number
+
+
 def _block(script: str, start: int) -> str:
     """What stands between the brace before ``start`` and the one that closes it; empty if none does."""
     depth = 1
@@ -81,7 +93,7 @@ def library_rows(script: str) -> list[dict]:
     def line(at: int) -> int:
         return script.count("\n", 0, at) + 1
 
-    rows = [_row("constant", m[1], line(m.start(1)), value=m[2]) for m in _CONSTANT.finditer(script)]
+    rows = [_row("constant", name, number, value=value) for name, value, number in _constants(script)]
     for m in _FUNCTION.finditer(script):
         body = _block(script, m.end())
         found = {k: n[1] for k, form in _ACTION_SETTINGS.items() if (n := form.search(body))}
@@ -130,9 +142,16 @@ def job_rows(text: str) -> list[dict]:
             after = "\n".join(lines[line(m.start()) - 1 :][:many])
             found = {k: _ACTION_SETTINGS[k].findall(after) for k in settings}
             once("action", m[1], m[2] if form is _ACTION else m[1], m.start(), **{k: v[-1] for k, v in found.items() if v})
-    for m in _HELPER.finditer(script):
-        once("helper_action", m[1], m[2] or m[3], m.start(1))
-    rows += [_row("account", m[2], line(m.start()), type=m[1]) for m in _ACCOUNT.finditer(script)]
+    found = Words(script)
+    accounts = []
+    for i, owner, function, args in found.calls():
+        at, single = found[i].at, [a[0] for a in args if len(a) == 1]
+        if not owner and len(args) == len(single) == 2 and single[0].name and (single[1].name or single[1].string) and not script[script.rfind("\n", 0, at) + 1 : at].strip():
+            if re.match(r"\s*;", script[script.index(")", single[1].at + len(single[1].text)) + 1 :]):
+                once("helper_action", function, single[1].string or single[1].text, at)
+        if function == LINKS_ACCOUNT and len(args) > 1 and args[0] and args[1] and args[0][0].text.startswith(ACCOUNT_KIND) and args[1][0].text.startswith(ACCOUNT_MASK):
+            accounts.append(_row("account", args[1][0].text.removeprefix(ACCOUNT_MASK).strip("_"), line(at), type=args[0][0].text))
+    rows += accounts
 
     settings = {k: setting(form) for k, form in _SETTINGS.items()}
     scenario = next((kind for name, kind in SCENARIO.items() if re.search(rf"function\s+{name}\s*\(", script)), None)
@@ -156,13 +175,13 @@ def libraries(df: DataFrame, text_col: str = "text") -> DataFrame:
     return extract(df, text_col, library_rows, JOB)
 
 
-def resolved(found: DataFrame, library: DataFrame, path: str = "path", depth: int = 3) -> DataFrame:
+def resolved(found: DataFrame, library: DataFrame, path: str = "path") -> DataFrame:
     """Instruments with ``deal_object_id`` and ``module_id`` (a number, a constant's, or 0), and helpers' actions with their settings.
 
     ``library`` has the rows of include files with the column ``file`` that includes name.  A
     constant is looked for in the job first and then in its include files, of which
     the last counts; a helper in the job, then the first file.  Constants of constants are
-    followed ``depth`` times.  All are left joins on (job, name), so no row is lost or doubled.
+    followed to the end (one that leads back to itself is 0).  All are left joins on (job, name), so no row is lost or doubled.
     """
     included = found.where("kind = 'include'").select(F.col(path).alias("__job"), F.col("name").alias("file"), F.col("position").alias("__place"))
     settings = ["goes_into", "prop_val", "priority", "check_service"]
@@ -176,11 +195,19 @@ def resolved(found: DataFrame, library: DataFrame, path: str = "path", depth: in
         return there.where(F.col("kind") == kind).withColumn("__rank", F.row_number().over(w)).where("__rank = 1")
 
     constants = first("constant", F.col("__place") > 0, F.desc("__place"), F.desc("line_start")).select("__job", F.col("name").alias("__name"), F.col("value").alias("__value"))
+    # a constant's number: each step replaces values by what they name, doubling the distance, until none is left to follow
+    steps = constants
+    for _ in range(constants.count().bit_length() + 1):  # a chain is no longer than there are constants; what is left then is a circle
+        ahead = steps.select(F.col("__job").alias("__j"), F.col("__name").alias("__n"), F.col("__value").alias("__v"))
+        more = steps.join(ahead, (F.col("__job") == F.col("__j")) & (F.col("__value") == F.col("__n")))
+        if more.where("__v != __n and __v != __name").isEmpty():
+            break
+        steps = steps.join(ahead, (F.col("__job") == F.col("__j")) & (F.col("__value") == F.col("__n")), "left").select("__job", "__name", F.when(F.coalesce("__v", "__value") == F.col("__name"), "").otherwise(F.coalesce("__v", "__value")).alias("__value"))
+    constants = steps
     out = found
     for ref, name in (("object_ref", "deal_object_id"), ("module_ref", "module_id")):
-        out = out.withColumn("__now", F.col(ref))
-        for _ in range(depth):
-            out = out.join(constants, (F.col(path) == F.col("__job")) & (F.col("__now") == F.col("__name")), "left").withColumn("__now", F.coalesce("__value", "__now")).drop("__job", "__name", "__value")
+        out = out.withColumn("__now", F.col(ref)).join(constants, (F.col(path) == F.col("__job")) & (F.col("__now") == F.col("__name")), "left")
+        out = out.withColumn("__now", F.coalesce("__value", "__now")).drop("__job", "__name", "__value")
         number = F.when(F.col("__now").rlike(r"^\d+$"), F.expr("try_cast(__now as bigint)"))
         out = out.withColumn(name, F.when(F.col("kind") == "instrument", F.coalesce(number, F.lit(0)))).drop("__now")
     helpers = first("helper", "__place", "line_start").select(F.col("__job"), F.col("name").alias("__name"), F.lit("helper_action").alias("__kind"), *[F.col(c).alias(f"__{c}") for c in settings])

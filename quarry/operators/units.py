@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .extract import extract
-from .forms import LIKE_SQL, sql_tables
+from .forms import reads_like_sql, sql_tables
 
 UNIT = (
     "struct<kind:string,name:string,class_name:string,method_name:string,type:string,value:string,visibility:string,context:string,is_temporary:boolean,"
@@ -149,7 +149,7 @@ def unit_rows(text: str) -> list[dict]:
                 row("method", m[2], number, class_name=open_class["name"], type=m[1].lower(), value=signature(at + m.start(1)), visibility=open_class["visibility"], context="class")
             elif re.match(r"\s*property\b", line, re.I):
                 for s in _LITERALS.findall(code[at : starts[number] - 1]):
-                    if LIKE_SQL.search(sql := folded(s, {}) or ""):
+                    if reads_like_sql(sql := folded(s, {}) or ""):
                         row("fragment", "", number, class_name=open_class["name"], value=sql, context="property")
             elif not _NO_FIELD.match(line) and (m := _FIELD.match(line)):
                 for name in m[1].split(","):
@@ -183,7 +183,7 @@ def unit_rows(text: str) -> list[dict]:
 
         def query(sql: str | None, number: int, sure: bool) -> None:
             sql = (sql or "").strip()
-            if sql and (sure or LIKE_SQL.search(sql)) and not any(sql in g for g in given):
+            if sql and (sure or reads_like_sql(sql)) and not any(sql in g for g in given):
                 given.append(sql)
                 row("fragment", "", number, class_name=owner or None, method_name=name, value=sql, context="method")
 

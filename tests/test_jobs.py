@@ -46,3 +46,11 @@ def test_no_xml():
     rows = jobs.job_rows("<job><script>Instrument.Name = \"A & B\"; CreateTransition(\"Go\");\n.Into(\"X\")</script>")
     assert [(r["kind"], r["name"], r["goes_into"]) for r in rows] == [("instrument", "A & B", None), ("action", "Go", "X")]
     assert jobs.job_rows("<job><script>var x;</script></job>") == []
+
+
+def test_constants_of_constants_to_the_end(spark):
+    script = "\n".join(["Instrument.Name = \"A\";", "Instrument.DealObjectID = C0;", "Instrument.DsModuleID = D0;", *[f"var C{i} = C{i + 1};" for i in range(9)], "var C9 = 77;", "var D0 = D1;", "var D1 = D2;", "var D2 = D0;"])
+    found = jobs.jobs(spark.createDataFrame([("a.smf", f"<job><script>{script}</script></job>")], "path string, text string"))
+    none = jobs.libraries(spark.createDataFrame([], "file string, text string"))
+    got = [r for r in jobs.resolved(found, none).collect() if r.kind == "instrument"]
+    assert [(r.deal_object_id, r.module_id) for r in got] == [(77, 0)]
