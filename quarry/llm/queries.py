@@ -41,7 +41,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    path = _tokenizer("word_bpe_49k.json")
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), path, token_counts.shared_cache(spark, path))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
@@ -103,10 +104,6 @@ select d.doc_id, p.license, coalesce(p.score, 0.0::double) as score, coalesce(p.
 from documents d left join per p using (doc_id)"""
 
 
-_MIXING_SQL = r"""
-with recursive sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents)
-select doc_id, size, sum(size) over (partition by source)::bigint as source_size from sized"""
-
 _EXACT_SQL = r"""
 with rows as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as norm from documents),
 ranked as (select doc_id, norm, first_value(doc_id) over (partition by norm order by n desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from rows)

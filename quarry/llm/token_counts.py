@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, scratch, text_of
+from .common import in_arrow, scratch, shared_dir, text_of
 
 MEMO = 150_000
 #: Longer words are not kept in the memo.
@@ -109,6 +109,11 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
+def shared_cache(spark: SparkSession, path: str) -> str:
+    """The lasting cache of this tokenizer in the shared folder: runs on the same texts find their counts there."""
+    return f"{shared_dir(spark).rstrip('/')}/quarry/token-cache-{tokenizer_digest(path)}"
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for every row.  ``cache`` is the cache table's folder; a new one in the shared folder if none is named."""
     spark = docs.sparkSession

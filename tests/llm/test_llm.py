@@ -284,6 +284,14 @@ def test_token_cache_encodes_misses_only(spark, tmp_path):
     assert spark.read.parquet(cache).count() == 3 and {r.id: r.n_tokens for r in got} == {0: 1, 1: 3, 2: 1}
 
 
+def test_a_second_query_encodes_nothing(spark):
+    first = queries.op6_token_counts(spark, SF).collect()
+    cache = token_counts.shared_cache(spark, WORDS)
+    rows = spark.read.parquet(cache).count()
+    assert sorted(map(tuple, queries.op6_token_counts(spark, SF).collect())) == sorted(map(tuple, first)) and spark.read.parquet(cache).count() == rows
+    assert token_counts.tokenizer_digest(WORDS) != token_counts.tokenizer_digest(RANKS)
+
+
 def test_bpe_of_a_very_long_word():
     ranks, r = bpe.read_ranks(RANKS), random.Random(5)
     for _ in range(200):
@@ -330,6 +338,17 @@ def test_fingerprints(spark, small):
     assert np.mean([r.near_edited for r in got.values()]) > 0.6 > 0.1 > np.mean([r.near_next for r in got.values()])
 
 
+def test_fingerprints_of_text_ids(spark):
+    r = random.Random(21)
+    names = [f"doc-{r.choice('aé東')}{r.randint(0, 10**12)}" for _ in range(60)] + ["doc-", "doc-a", None]
+    texts = [f"text {i} " * r.randint(1, 20) for i in range(len(names))]
+    rows = spark.createDataFrame(list(zip(names, texts)), "doc_id string, text string")
+    got = {x.id: x for x in fingerprints.fingerprints(rows).collect()}
+    order = sorted(zip(names, texts), key=lambda p: (p[0] is not None, (p[0] or "").encode()))
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1]):
+        assert got[i].edited_sha256 == hashlib.sha256(fingerprints.edited(a, b).encode()).hexdigest()
+
+
 def test_fingerprints_odd(spark):
     out = fingerprints.fingerprints(docs_of(spark, ODD, ids=[None, 5, 5, *range(10, 10 + len(ODD) - 3)])).collect()
     assert len(out) == len(ODD) and fingerprints.fingerprints(docs_of(spark, ["one"])).first().near_next == 1.0
@@ -463,3 +482,47 @@ def test_pipeline_stages(spark, small):
             assert all(x.decoded_sha256 == hashlib.sha256(small[x.doc_id].encode()).hexdigest() for x in got)
         docs = spark.createDataFrame(out.collect(), out.schema) if name != "byte_bpe" else out
     assert re.fullmatch("[0-9a-f]{64}", got[0].ids_sha256)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stage_on_odd_tables(spark, stage):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, an empty table: no stage fails or loses a text."""
+    name, run_stage = corpus_pipeline.STAGES[stage]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [*ODD, "one two three four five six", "one two three four five six", "long " * 20_000]
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "text of a row without an id, of nine words", None, None, None)]
+    out = run_stage(spark, spark.createDataFrame(rows, schema), SF)
+    got = [r.text for r in out.collect()] if name != "byte_bpe" else [r.decoded_sha256 for r in out.collect()]
+    if name == "byte_bpe":
+        assert sorted(got) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+    elif name == "mixing":
+        assert set(got) <= {r[1] for r in rows} and all(t and t.strip() for t in got)
+    elif name == "toxicity":
+        assert sorted(map(str, got)) == sorted(str(r[1]) for r in rows)
+    else:
+        assert len(got) == len(set(got)) and {"".join((r[1] or "").split()) for r in rows} >= {"".join((t or "").split()) for t in got}
+        want = {"".join((r[1] or "").split()) for r in rows}
+        assert len(got) == len(want) if name == "exact_dedup" else len(got) <= len(want)
+    none = run_stage(spark, spark.createDataFrame([], schema), SF)
+    assert none.count() == 0 and (name == "byte_bpe" or none.columns == ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    empty = docs_of(spark, ODD).limit(0)
+    assert licenses.best_license(empty).count() == 0 and bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert toxicity.score(empty, [(-1, 0.0)]).count() == 0 and suffix_dedup.remove_repeats(empty).count() == 0
+    assert token_counts.count_tokens(empty, WORDS).count() == 0
+    pages = "page_id long, url string, html string, id string, text string"
+    assert html_text.extract(spark.createDataFrame([], pages)).count() == 0
+    page = (1, "u", "<html><body><article><p>A paragraph, with enough words to be the text of a page.</p></article></body></html>", "x", "y")
+    long = (2, "u", "<article>" + "<p>A paragraph, with enough words to be the text of a page.</p>" * 3000 + "</article>", None, None)
+    got = html_text.extract(spark.createDataFrame([page, page, long], pages)).collect()
+    assert len(got) == 3 and len({r.text for r in got if r.id == 1}) == 1
+    same = docs_of(spark, ["a b c"] * 3, ids=[4, 4, None])
+    assert [r.n_tokens for r in bpe.round_trip(same, RANKS, public_tokenizers.PATTERN).collect()] == [3] * 3
+    assert [r.n_tokens for r in token_counts.count_tokens(same, WORDS).collect()] == [3] * 3
+    twins = docs_of(spark, ["x" * 500, "x" * 500, None], ids=[None, None, None])
+    assert sorted(r.n_removed for r in suffix_dedup.remove_repeats(twins).collect()) == [0, 500, 500]
+    near = near_dedup.classes(docs_of(spark, ["one two three four five six seven", "one two three four five six eight", "other"], ids=[None, 7, 7])).collect()
+    assert len(near) == 3 and {r.class_size for r in near if r.class_id == 7} >= {1}
