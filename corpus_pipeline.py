@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept and returns the columns of
 documents; the last returns what the byte-level BPE gives for each text.
+
+Every stage takes any table with the columns of documents: a null text is the
+empty text, a null source a source of its own, a null id an id like another; rows
+that repeat are rows like others until exact dedup leaves one; an empty table
+gives an empty table; further columns go along.
 """
 
 from __future__ import annotations
@@ -13,27 +18,27 @@ from quarry.llm.common import scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more go."""
+    """Documents that the classifier scores 0.5 or more go; empty texts have the intercept's score; repeated rows share their fate."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest id, stays."""
+    """Of equal texts (null, empty and blank ones are equal) the longest original, then the smallest id (null last), stays, in one row."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the smallest id."""
+    """One document of each class of near copies stays: the smallest id (null last), one row of those alike in id and text."""
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix in order of position; a document that the mix takes twice has two rows."""
+    """The training mix in order of position, then id; a document that the mix takes twice has two rows, one without words has none."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; an empty text has no tokens."""
     import public_tokenizers
 
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
