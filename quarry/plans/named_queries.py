@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import named
+from ..operators import linking, named
 from ..sources import tables as T
 from ..sources.catalog import Catalog
 
@@ -80,8 +80,7 @@ def catalog(spark: SparkSession, d: str) -> Catalog:
     for name, text in VIEWS.items():
         table = spark.sql(text, **{n: df for n, df in plain.items() if f"{{{n}}}" in text})
         made[name] = table
-    whole = Catalog(spark, made)
-    return Catalog(spark, {n: whole.conformed(n) for n in made})
+    return Catalog(spark, made)
 
 
 def query(sql: str):
@@ -347,6 +346,62 @@ def named_processed(c):
     return named.processed_stats(c).crossJoin(named.was_processed(c, "Supplier#000000003"))  # a row each
 
 
+# --- links and small shapes -----------------------------------------------------------------------------
+
+
+@query("select k.id, class_name, (select max(d.id) from v_dfm_forms d where lower(d.form_class) = lower(k.class_name)) as dfm_form_id from v_pas_classes k")
+def linked_class_forms(c):
+    return linking.class_forms(c["pas_classes"], c["dfm_forms"]).select("id", "class_name", "dfm_form_id")
+
+
+@query("select m.id, m.method_name, coalesce(m.class_id, (select max(k.id) from v_pas_classes k where lower(k.class_name) = lower('tnation_' || (m.id % 40)))) as class_id from (select id, method_name, case when id % 2 = 0 then class_id end as class_id from v_pas_methods) m")
+def linked_methods(c):
+    loose = c["pas_methods"].withColumn("class_id", F.when(F.col("id") % 2 == 0, F.col("class_id"))).withColumn("owner", F.concat(F.lit("tNation_"), (F.col("id") % 40).cast("string")))
+    return linking.member_classes(loose, c["pas_classes"], "owner").select("id", "method_name", "class_id")
+
+
+@query("""select f.id, f.field_name, (select max(d.id) from v_dfm_components d join v_dfm_forms m on m.id = d.form_id where m.form_class = 'TNATION_' || ((f.id % 50) // 2) and d.form_id = (select max(x.id) from v_dfm_forms x where x.form_class = m.form_class) and lower(d.component_name) = lower(f.field_name)) as dfm_component_id from v_pas_fields f""")
+def linked_field_components(c):
+    classes = linking.class_forms(c["pas_classes"], c["dfm_forms"])
+    fields = c["pas_fields"].withColumn("dfm_component_id", F.lit(None).cast("long")).withColumn("class_id", F.expr("(id % 50) div 2"))
+    return linking.field_components(fields, classes, c["dfm_components"]).select("id", "field_name", "dfm_component_id")
+
+
+@query("""select p_partkey as file_row, 'inc/' || case when p_size % 2 = 0 then 'Supplier#' || lpad(cast(p_partkey % 30 as string), 9, '0') || '.sql' else 'none.h' end as include_path, case when p_size % 2 = 0 then (select max(id) from v_files f where f.rel_path = 'Supplier#' || lpad(cast(p_partkey % 30 as string), 9, '0') || '.sql' and lower(f.extension) = 'h') end as resolved_file_id from part""".replace("from part", "from v_sql_columns join part on part.p_partkey = v_sql_columns.id"))
+def resolved_includes(c):
+    """No file lies where the includes say, so headers are found by name."""
+    parts = c["pas_methods"].select("id", F.col("line_number").alias("size"))
+    name = F.when(F.col("size") % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 30).cast("string"), 9, "0"), F.lit(".sql"))).otherwise("none.h")
+    rows = parts.select((F.col("id") % 10).alias("file_id"), F.concat(F.lit("inc/"), name).alias("include_path"), F.col("id").cast("int").alias("line_number"))
+    return linking.includes(rows, c["files"]).select(F.col("line_number").cast("long").alias("file_row"), "include_path", "resolved_file_id")
+
+
+@query("select table_name, string_agg(v, ';' order by p) as values from (select table_name, lower(trim(column_name)) as k, min(id) as p, arg_min(trim(column_name), id) as v from v_sql_columns group by 1, 2) group by table_name")
+def unique_in_order(c):
+    return _flat(linking.unique_in_order(c["sql_columns"], ["table_name"], "column_name", "id"), "values")
+
+
+@query("""select context as step, sum(n)::bigint as n, sum(t)::double as total, (sum(t) / sum(n))::double as mean, min(lo)::double as least, max(hi)::double as most, ((max(t) / avg(t) - 1) * 100)::double as imbalance
+from (select context, file_id % 4 as w, count(*) as n, sum(line_number)::double as t, min(line_number) as lo, max(line_number) as hi from v_sql_tables group by 1, 2) group by context""")
+def timing_statistics(c):
+    rows = c["sql_tables"].select(F.col("context").alias("step"), (F.col("file_id") % 4).alias("worker"), F.col("line_number").cast("double").alias("seconds"))
+    return linking.timings(rows, "step", "worker", "seconds")
+
+
+@query("select code, name, moves, family from v_eco_codes where false union all select 'B' || id, 'Opening ' || form_name, 'e4 ' || lower(form_class) || ' Nf3', 'B' from v_dfm_forms")
+def eco_book(c):
+    """Openings of files made from forms, each with an entry twice: the first counts."""
+    entry = lambda name: F.concat(F.lit('[Event "x"]\n[Site "B'), "id", F.lit(f'"]\n[White "{name} '), "form_name", F.lit('"]\n\n1. e4 '), F.lower("form_class"), F.lit("\n2.Nf3\n\n"))
+    text = c["dfm_forms"].select(F.concat(F.lit("f"), "id").alias("path"), F.concat(entry("Opening"), entry("Again")).alias("text"))
+    return linking.eco_book(text)
+
+
+@query("select table_name, id from v_sql_columns where id in (select id from v_sql_columns where id % 3 <> 0) and table_name not in (select table_name from v_sql_columns where id % 40 = 39)")
+def without_failed_groups(c):
+    rows = c["sql_columns"].where("id % 3 <> 0 or id % 40 = 39")
+    return linking.without_failed(rows, "table_name", "id % 40 = 39").select("table_name", "id")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

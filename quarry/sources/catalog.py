@@ -87,7 +87,7 @@ def collisions(rows: DataFrame, *natural: str) -> DataFrame:
 
 
 class Catalog(Mapping[str, DataFrame]):
-    """Tables by name; those that are not given are empty, with their schema."""
+    """Tables by name, with the declared columns, types and order: a column that is missing is null, a table that is not given empty."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None):
         unknown = set(tables or ()) - set(SCHEMAS)
@@ -98,7 +98,11 @@ class Catalog(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise KeyError(name)
-        return self.tables[name] if name in self.tables else self.spark.createDataFrame([], schema(name))
+        wanted = self.spark.createDataFrame([], schema(name))
+        if name not in self.tables:
+            return wanted
+        table = self.tables[name]
+        return table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema])
 
     def __iter__(self) -> Iterator[str]:
         return iter(SCHEMAS)
@@ -106,16 +110,10 @@ class Catalog(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(SCHEMAS)
 
-    def conformed(self, name: str) -> DataFrame:
-        """The table with the declared columns, types and order; columns that are missing are null."""
-        table = self[name]
-        wanted = self.spark.createDataFrame([], schema(name)).schema
-        return table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
-
     def save(self, path: str, mode: str = "append") -> None:
         """Each table that was given, below ``path``."""
         for name in self.tables:
-            self.conformed(name).write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+            self[name].write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
 
     def views(self) -> None:
         """Registers every table for SQL."""

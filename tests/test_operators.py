@@ -53,3 +53,35 @@ def test_snapshot_and_upsert(spark):
     new = spark.createDataFrame([(1, 2, 2.0), (5, 1, 3.0)], "k int, n int, r double")
     got = {r.k: (r.n, r.r) for r in lookup.accumulate(old, new, ["k"], ["n"], {"r": "n"}).collect()}
     assert got == {1: (4, 1.5), 5: (1, 3.0)}
+
+
+def test_includes_and_engine_lines(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import linking
+
+    files = spark.createDataFrame([(1, "/s/a/x.sql", "a/x.sql", "SQL"), (2, "/s/a/y.h", "a/y.h", "h"), (3, "/s/Include/z.h", "Include/z.h", "h"), (4, "/s/b/w.H", "b/w.H", "H"), (5, "/t/w.h", "t/w.h", "h")], "id long, path string, rel_path string, extension string")
+    found = spark.createDataFrame([(1, "y.h", 1), (1, "..\\Include\\z.h", 2), (1, "deep/z.h", 3), (1, "any/w.h", 4), (1, "none.h", 5), (1, " ", 6)], "file_id long, include_path string, line_number int")
+    got = {r.line_number: r.resolved_file_id for r in linking.includes(found, files).collect()}
+    assert got == {1: 2, 2: 3, 3: 3, 4: 5, 5: None, 6: None}
+    lines = spark.createDataFrame([("info depth 12 seldepth 20 multipv 2 score cp -35 nodes 1000 time 7 pv e2e4 e7e5",), ("info depth 3 score mate -2 pv a1a2",), ("bestmove e2e4",)], "line string")
+    a, b, c = [r.x for r in lines.select(linking.engine_line().alias("x")).collect()]
+    assert (a.depth, a.multipv, a.score, a.nodes, a.moves) == (12, 2, -0.35, 1000, ["e2e4", "e7e5"]) and (b.multipv, b.mate, b.score) == (1, -2, None) and c is None
+    once = [r.id for r in linking.random_rows(spark.range(50), 5, "id", 3).collect()]
+    assert once == [r.id for r in linking.random_rows(spark.range(50).repartition(7), 5, "id", 3).collect()] and once != [r.id for r in linking.random_rows(spark.range(50), 5, "id", 4).collect()]
+    assert spark.range(1).select(linking.cleaned(F.lit("a/./b/../../../c\\d"))).first()[0] == "../c/d"
+
+
+def test_catalog(spark, tmp_path):
+    from quarry.sources.catalog import Catalog, collisions, key
+
+    files = spark.createDataFrame([("/a.sql",), ("/b.sql",)], "path string").withColumn("id", key("path"))
+    a, b = [r.id for r in files.orderBy("path").collect()]
+    procs = spark.createDataFrame([(1, a, "A"), (2, b, "B")], "id long, file_id long, proc_name string")
+    edges = spark.createDataFrame([(1, "sql_procedure", 1, "sql_procedure", 2, "calls_procedure"), (2, "sql_procedure", 2, "sql_procedure", 2, "calls_procedure")], "id long, source_type string, source_id long, target_type string, target_id long, relation_type string")
+    c = Catalog(spark, {"files": files, "sql_procedures": procs, "relations": edges})
+    left = c.without_files(spark.createDataFrame([(a,)], "id long"))
+    assert [r.proc_name for r in left["sql_procedures"].collect()] == ["B"] and [r.id for r in left["relations"].collect()] == [2] and left["files"].count() == 1
+    c.save(str(tmp_path))
+    back = Catalog.load(spark, str(tmp_path), ["files", "sql_procedures", "relations"])
+    assert back["files"].count() == 2 and back["pas_units"].count() == 0 and collisions(files, "path").count() == 0
