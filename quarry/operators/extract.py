@@ -22,15 +22,20 @@ SCRIPT = "struct<kind:string,name:string,object:string,value:string,scenario_typ
 GAME = "struct<white:string,black:string,result:string,moves:array<struct<san:string,annotation:int>>>"
 
 
-def extract(df: DataFrame, text_col: str, parse: Callable[[str], list[dict]], row: str) -> DataFrame:
-    """The rows that ``parse`` finds in each text, with the input's columns but the text; ``ordinal`` counts them."""
+def rows_function(parse: Callable[[str], list[dict]], row: str):
+    """``parse`` as a function of a column of texts that gives an array of rows, for DataFrames and (registered) for SQL."""
 
     @pandas_udf(f"array<{row}>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([parse(t) if t else [] for t in texts], dtype=object)
 
+    return run
+
+
+def extract(df: DataFrame, text_col: str, parse: Callable[[str], list[dict]], row: str) -> DataFrame:
+    """The rows that ``parse`` finds in each text, with the input's columns but the text; ``ordinal`` counts them."""
     kept = [c for c in df.columns if c != text_col]
-    found = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(run(F.col(text_col))).alias("ordinal", "__row"))
+    found = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode(rows_function(parse, row)(F.col(text_col))).alias("ordinal", "__row"))
     return found.select(*[F.col(f"`{c}`") for c in kept], "ordinal", "__row.*")
 
 

@@ -85,3 +85,13 @@ def test_catalog(spark, tmp_path):
     c.save(str(tmp_path))
     back = Catalog.load(spark, str(tmp_path), ["files", "sql_procedures", "relations"])
     assert back["files"].count() == 2 and back["pas_units"].count() == 0 and collisions(files, "path").count() == 0
+
+
+def test_extractors_in_sql(spark):
+    from quarry.functions.register import register
+
+    assert "sql_rows" in register(spark)
+    got = spark.sql("select inline(header_rows(t)) from values ('#define A 1\n#define B \"x\"'), (null), ('') as v(t)").collect()
+    assert [(r.name, r.value) for r in got] == [("A", "1"), ("B", '"x"')]
+    names = spark.sql("select x.name from values ('select * from tDeal d join tClient c on 1 = 1') v(t) lateral view inline(sql_table_rows(t)) x").collect()
+    assert [r.name for r in names] == ["tDeal", "tClient"]
