@@ -70,7 +70,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digests = cut(_digests(docs, id_col, text_col), "exact-digests")
     odd = _collisions(docs, digests, id_col, text_col)
     rows = digests.join(odd, ["h", "id"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
-    groups = rows.groupBy("h", "variant").agg(F.min(_order()).alias("first"), F.sum("copies").alias("group_size"))
+    # written first, so that the rows of a very large group are dealt out afresh and can be split
+    groups = cut(rows.groupBy("h", "variant").agg(F.min(_order()).alias("first"), F.sum("copies").alias("group_size")), "exact-groups")
     joined = rows.join(groups, ["h", "variant"]).select("h", "id", "n", "sha", "copies", "group_size", F.col("first.id").alias("keep_id"), F.col("first.n").alias("keep_n"))
     each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
