@@ -36,9 +36,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, scratch, shared_dir, text_of
+from .common import cut, in_arrow, scratch, shared_dir, text_of
 
 MEMO = 150_000
+#: Misses (of about 40 bytes) are broadcast up to so many.
+MOST_BROADCAST = 100_000
 #: Longer words are not kept in the memo.
 LONG = 64
 
@@ -131,8 +133,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_col: s
     # one row for each distinct miss, by its first id; the text itself is fetched after
     first = digests.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"))).getField("id").alias("id"))
     misses = first.join(stored.select("content"), "content", "left_anti") if known else first
-    wanted = misses.select(F.col("content").alias("c"), F.col("id").alias("i")).hint("shuffle_hash")  # small rows to build on: the texts need no sort
-    texts = rows.join(wanted, (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("i")))
+    wanted = cut(misses.select(F.col("content").alias("c"), F.col("id").alias("i")), "token-misses")
+    missing = wanted.limit(MOST_BROADCAST + 1).count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -140,8 +142,12 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, id_col: s
             n = pa.array([count(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], ["content", "n_tokens"])
 
-    counted = texts.select("content", "text").transform(in_arrow, run, "content binary, n_tokens long")
-    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    # few misses are sent to the texts; many are the side to build on, so the texts are shuffled but not sorted
+    wanted = F.broadcast(wanted) if missing <= MOST_BROADCAST else wanted.hint("shuffle_hash")
+    texts = rows.join(wanted, (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("i")))
+    if missing or not known:
+        counted = texts.select("content", "text").transform(in_arrow, run, "content binary, n_tokens long")
+        counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     # two runs at once may both have appended a count; they agree
     counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
