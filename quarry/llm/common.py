@@ -44,11 +44,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later jobs start from the written table, which survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    return cut_at(df, scratch(df.sparkSession, name))
+
+
+def cut_at(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path that the caller names, so that it can ``remove`` the table when nothing reads it any more."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table of our own that later jobs don't read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with batches of ``MOST_BATCH`` bytes at most (the session's setting from here on): Spark's own bound lets
     long texts fill several copies of 64 MB in a task and its worker."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, suffix_dedup, token_counts, toxicity
+from . import ball_kmeans, bpe, exact_dedup, fill_in_middle, fingerprints, html_text, licenses, mixing, near_dedup, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -67,6 +67,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_license_scan, op2_html_extraction, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_fingerprints, op8_exact_dedup, op9_byte_bpe, op10_near_dedup, pipeline]
+    own = [op1_license_scan, op2_html_extraction, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_fingerprints, op8_exact_dedup, op9_byte_bpe, op10_near_dedup, op12_ball_kmeans, op13_fill_in_middle, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -110,6 +121,33 @@ ranked as (select doc_id, norm, first_value(doc_id) over (partition by norm orde
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from ranked"""
 
 
+_MIDDLE_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents),
+c as (select *, least(('0x' || substr(h, 1, 8))::bigint % (n + 1), ('0x' || substr(h, 9, 8))::bigint % (n + 1)) as a, greatest(('0x' || substr(h, 1, 8))::bigint % (n + 1), ('0x' || substr(h, 9, 8))::bigint % (n + 1)) as b,
+  case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain' when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form from t),
+p as (select *, text[1:a] as pre, text[a + 1:b] as mid, text[b + 1:n] as suf from c),
+o as (select *, case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end as output from p),
+r as (select *, string_split_regex(output, '<[PSM]>') as x from o)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars, sha256(output) as output_sha256,
+  sha256(case form when 'plain' then output when 'psm' then x[2] || x[4] || x[3] else x[3] || x[4] || x[2] end) as restored_sha256 from r"""
+
+
+def _kmeans_sql(rounds: int = 5) -> str:
+    parts = [
+        "v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e, sha256('2:' || vec_id) as h from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)",
+        "c0 as materialized (select row_number() over (order by h) - 1 as k, e as c from v order by h limit 40)",
+    ]
+    for r in range(rounds + 1):
+        near = f"select vec_id, e, k, list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c{r}"
+        parts.append(f"a{r} as materialized (select vec_id, any_value(e) as e, arg_min(k, (d, k)) as k, min(d) as d from ({near}) group by vec_id)")
+        if r < rounds:
+            parts.append(f"s{r} as (select k, i, sum(x)::bigint as s, count(*) as n from (select k, unnest(e) as x, generate_subscripts(e, 1) as i from a{r}) group by k, i)")
+            moved = f"select k, list((s - ((s % n) + n) % n) // n order by i) as c from s{r} group by k"
+            parts.append(f"c{r + 1} as materialized (select k, coalesce(m.c, o.c) as c from c{r} o left join ({moved}) m using (k))")
+    last = f"select vec_id, k::integer as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from a{rounds} join c{rounds} using (k)"
+    return f"with {', '.join(parts)} {last}"
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_license_scan": _license_sql(), "op8_exact_dedup": _EXACT_SQL}
+    out = {"op1_license_scan": _license_sql(), "op8_exact_dedup": _EXACT_SQL, "op12_ball_kmeans": _kmeans_sql(), "op13_fill_in_middle": _MIDDLE_SQL}
     return out

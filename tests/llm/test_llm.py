@@ -46,7 +46,8 @@ def run(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        c.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.queries()[name](spark, SF)
     names = sorted(df.columns)
     want = c.execute(f"select {', '.join(names)} from ({queries.oracle_sql()[name]})").fetchall()
