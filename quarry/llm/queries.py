@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_kmeans, bpe, exact_dedup, fill_in_middle, fingerprints, html_text, licenses, mixing, near_dedup, suffix_dedup, token_counts, toxicity
+from . import ball_kmeans, bpe, exact_dedup, fill_in_middle, fingerprints, html_text, licenses, lm_scoring, mixing, near_dedup, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+
+
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_license_scan, op2_html_extraction, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_fingerprints, op8_exact_dedup, op9_byte_bpe, op10_near_dedup, op12_ball_kmeans, op13_fill_in_middle, pipeline]
+    own = [op1_license_scan, op2_html_extraction, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_fingerprints, op8_exact_dedup, op9_byte_bpe, op10_near_dedup, op11_lm_scoring, op12_ball_kmeans, op13_fill_in_middle, pipeline]
     return {f.__name__: f for f in own}
 
 
