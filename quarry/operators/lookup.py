@@ -1,4 +1,4 @@
-"""Latest versions, enclosing ranges, fallbacks, snapshots and keyed changes."""
+"""Latest versions, fallbacks, snapshots and keyed changes."""
 
 from __future__ import annotations
 
@@ -12,13 +12,6 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
 
 
-def enclosing(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, ident: str, point_id: list[str]) -> DataFrame:
-    """Each point with the range that holds it and starts last (largest id on a tie); null if none.  The equal key makes it a hash join with a residual."""
-    hit = points.join(ranges, [key], "left").where((F.col(start).isNull()) | ((F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at))))
-    best = hit.groupBy(key, *point_id).agg(F.max(F.struct(start, ident)).alias("b")).select(key, *point_id, F.col(f"b.{ident}").alias(ident))
-    return points.join(best, [key, *point_id], "left")
-
-
 def resolve(names: DataFrame, *choices: tuple[DataFrame, list[str]], ident: str = "id") -> DataFrame:
     """The id from the first table of ``choices`` that knows the name; in each, the largest id wins."""
     out, found = names, []
@@ -42,11 +35,15 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], *order: Colum
     return old.unionByName(latest(new.join(old.select(*keys), keys, "left_anti"), keys, *order))
 
 
-def accumulate(old: DataFrame, new: DataFrame, keys: list[str], counters: list[str], weighted: dict[str, str] | None = None) -> DataFrame:
-    """Upsert that adds counters and averages ``weighted`` columns by their weight counter; one shuffle of both sides after partial sums."""
-    rows = old.unionByName(new)
-    aggs = [F.sum(c).alias(c) for c in counters] + [(F.sum(F.col(c) * F.col(w)) / F.sum(w)).alias(c) for c, w in (weighted or {}).items()]
-    return rows.groupBy(*keys).agg(*aggs)
+def accumulate(old: DataFrame, new: DataFrame, keys: list[str], counters: list[str], weighted: dict[str, str] | None = None, first: list[str] | None = None) -> DataFrame:
+    """Upsert that adds counters and averages ``weighted`` columns by their weight counter; one shuffle of both sides after partial sums.
+
+    ``first`` columns keep the old value, and take the new one (the least, of several) only where there was none.
+    Null keys are one key; a weighted value that is null does not count."""
+    rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    mean = lambda c, w: (F.sum(F.col(c) * F.col(w)) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col(w))), F.lit(0))).alias(c)
+    stays = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("__new", c)))[c].alias(c)
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters], *[mean(c, w) for c, w in (weighted or {}).items()], *[stays(c) for c in first or []])
 
 
 def update(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

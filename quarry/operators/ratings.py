@@ -45,24 +45,3 @@ def best_continuation(rated_: DataFrame, depth: int) -> DataFrame:
         best = level.groupBy("parent").agg(F.max_by(F.struct("value", "line"), F.struct("value", "rating", "games_count", "child")).alias("b")).select(F.col("parent").alias("child"), F.col("b.value").alias("below"), F.col("b.line").alias("rest"))
         level = rated_.join(best, "child", "left").select("parent", "child", round2(F.col("rating") + F.coalesce("below", F.lit(0.0))).alias("value"), "rating", "games_count", F.concat(F.array("child"), F.coalesce("rest", F.array().cast("array<string>"))).alias("line"))
     return level
-
-
-def total_before(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """Rows of the key that come earlier."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.count(F.lit(1)).over(w))
-
-
-def longest_unique_prefix(lines: DataFrame, book: DataFrame, default: str = "A00") -> DataFrame:
-    """(id, code): the shortest prefix of the line that exactly one book entry has, before any prefix that none has; else the last with several (lowest code).
-
-    Prefixes are exploded on both sides and joined by equality."""
-    def prefixes(df, *keep):
-        return df.select(*keep, F.explode(F.expr("transform(sequence(1, greatest(size(moves), 1)), k -> struct(k as k, array_join(slice(moves, 1, k), ' ') as prefix))")).alias("p")).select(*keep, "p.k", "p.prefix")
-
-    known = prefixes(book, "code").groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("code"))
-    seen = prefixes(lines, "id").join(known, "prefix", "left")
-    stop = seen.groupBy("id").agg(F.min(F.when(F.col("n").isNull(), F.col("k"))).alias("stop"), F.min(F.when(F.col("n") == 1, F.struct("k", "code"))).alias("one"), F.collect_list(F.when(F.col("n") > 1, F.struct("k", "code"))).alias("many"))
-    fits = lambda k: F.col("stop").isNull() | (k < F.col("stop"))
-    several = F.array_max(F.filter("many", lambda m: fits(m["k"])))
-    return stop.select("id", F.coalesce(F.when(fits(F.col("one.k")), F.col("one.code")), several["code"], F.lit(default)).alias("code"))

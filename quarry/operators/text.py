@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,122 +12,50 @@ def longest_words(df: DataFrame, column: str, n: int, word: str = r"\p{L}+") ->
     return words.select("word", F.octet_length("word").alias("bytes")).orderBy(F.desc("bytes"), "word").limit(n)
 
 
-def offsets(text: Column | str, pattern: str) -> Column:
-    """Byte offsets of every occurrence, overlapping ones too, found where the text stands: each step looks from the last hit on."""
-    t = F.col(text) if isinstance(text, str) else text
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.floor((F.char_length(t) - F.char_length(F.replace(t, F.lit(pattern), F.lit("")))) / len(pattern)).cast("int") * len(pattern) + 1),
-        F.struct(F.locate(pattern, t, 1).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda acc, _: F.when(acc["at"] > 0, F.struct(F.call_function("locate", F.lit(pattern), t, acc["at"] + 1).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found"))).otherwise(acc),
-    )
-    return F.transform(step["found"], lambda i: F.octet_length(F.substring(t, F.lit(1), i - 1)))
-
-
-def occurrences(text: Column | str, pattern: str) -> Column:
-    """Number of occurrences, overlapping ones too."""
-    ahead = "(?=" + "".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in pattern) + ")"
-    return F.regexp_count(text, F.lit(ahead)).cast("long")
-
-
-def containing(texts: DataFrame, passages: DataFrame, id_col: str, passage_id: str, text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, passage id) of every text that contains a whole passage, without regard to case.
+#: Code points of a chunk, and of a piece of it: looking from a hit to the next reads no more than a piece.
+CHUNK, PIECE = 1 << 16, 1 << 8
 
-    A passage of over ``words`` + 1 words is met by an equal run of ``words`` words inside it (its first and last word may
-    continue in the text), the least by hash, then compared whole.  Shorter ones are compared with every text."""
-    low = lambda df, i: df.select(F.col(i), F.lower(text_col).alias("t")).where("t is not null")
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    run = lambda w, first, count: F.transform(F.sequence(first, first + count - 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
-    known = low(passages, passage_id).withColumnRenamed("t", "p").withColumn("w", split("p"))
-    inner = F.size("w") - 2 - words + 1
-    long = known.where(inner > 0).select(passage_id, "p", F.array_min(run(F.col("w"), F.lit(2), inner)).alias("key"))
-    short = known.where(inner <= 0).select(passage_id, "p")
-    docs = low(texts, id_col).withColumn("w", split("t"))
-    runs = docs.where(F.size("w") >= words).select(id_col, F.explode(F.array_distinct(run(F.col("w"), F.lit(1), F.size("w") - words + 1))).alias("key"))
-    met = runs.join(long, "key").select(id_col, passage_id, "p")
-    whole = met.join(low(texts, id_col), id_col).where(F.contains("t", "p")).select(id_col, passage_id)
-    few = docs.select(id_col, "t").join(short, F.contains("t", "p")).select(id_col, passage_id)
-    return whole.union(few)
 
+def _based(pieces: Column, ahead: int, rest: Column) -> Column:
+    """(piece, more, base): each piece, itself with ``ahead`` code points of what follows, and the bytes before it; ``rest`` follows the last one."""
+    ends = F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.octet_length(p)))
+    part = lambda i: F.coalesce(F.get(pieces, i), F.when(i == F.size(pieces), rest), F.lit(""))
+    next_ = lambda i: F.substring(F.concat(part(i + 1), part(i + 2)), 1, ahead)  # noqa: E731  the last piece may be short
+    row = lambda p, e: F.transform(p, lambda x, i: F.struct(x.alias("piece"), F.concat(x, next_(i)).alias("more"), F.get(e, i).alias("base")))
+    return F.element_at(F.transform(F.array(ends), lambda e: row(pieces, e)), 1)
 
-def naive(data: bytes, pattern: bytes) -> list[int]:
-    out, i = [], data.find(pattern)
-    while i >= 0:
-        out.append(i)
-        i = data.find(pattern, i + 1)
-    return out
 
+def _in_piece(piece: Column, more: Column, base: Column, pattern: str) -> Column:
+    """Byte offsets of the hits that begin in a piece, each step looking from the last hit on; ``more`` is the piece and what follows it."""
+    more = F.substring(more, F.lit(1), F.char_length(piece) + len(pattern) - 1)
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.floor((F.char_length(more) - F.char_length(F.replace(more, F.lit(pattern), F.lit("")))) / len(pattern)).cast("int") * len(pattern) + 1),
+        F.struct(F.locate(pattern, more, 1).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda acc, _: F.when(acc["at"] > 0, F.struct(F.call_function("locate", F.lit(pattern), more, acc["at"] + 1).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found"))).otherwise(acc),
+    )["found"]
+    return F.transform(found, lambda i: base + F.octet_length(F.substring(more, F.lit(1), i - 1)))
 
-def kmp(data: bytes, pattern: bytes) -> list[int]:
-    """Knuth-Morris-Pratt."""
-    border, k = [0] * len(pattern), 0
-    for i in range(1, len(pattern)):
-        while k and pattern[i] != pattern[k]:
-            k = border[k - 1]
-        k += pattern[i] == pattern[k]
-        border[i] = k
-    out, k = [], 0
-    for i, c in enumerate(data):
-        while k and (k == len(pattern) or c != pattern[k]):
-            k = border[k - 1]
-        k += c == pattern[k]
-        if k == len(pattern):
-            out.append(i - k + 1)
-    return out
 
+def offsets(df: DataFrame, patterns: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """(*keep, pattern, offsets array<long>): byte offsets of every occurrence, overlapping ones too; a row for each chunk of a text and pattern with hits.
 
-class Automaton:
-    """One pass for many patterns: a trie with failure links over bytes."""
+    Texts are cut into chunks and those into pieces, each read with what follows
+    it as far as a pattern reaches; the bytes before each are known, so the work
+    is linear in the text whatever the number of hits, and a chunk is as much as
+    a row ever holds.  A null text has no hits; an empty pattern is an error."""
+    if not all(patterns) or max(map(len, patterns)) > PIECE:
+        raise ValueError(f"patterns have 1 to {PIECE} characters")
+    ahead = max(map(len, patterns)) - 1
+    cut = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+    chunks = df.select(*keep, cut(F.col(text_col), CHUNK).alias("__c")).select(*keep, F.explode(_based(F.col("__c"), ahead, F.lit(""))).alias("__c"))
+    pieces = chunks.select(*keep, "__c.base", cut(F.col("__c.piece"), PIECE).alias("__p"), F.substring("__c.more", F.char_length("__c.piece") + 1, F.lit(ahead)).alias("__rest"))
+    pieces = pieces.withColumn("__p", _based(F.col("__p"), ahead, F.col("__rest")))
+    hits = lambda p: F.flatten(F.transform("__p", lambda x: _in_piece(x["piece"], x["more"], F.col("base") + x["base"], p)))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), hits(p).alias("offsets")) for p in patterns])).alias("__x")
+    return pieces.select(*keep, each).select(*keep, "__x.pattern", "__x.offsets").where(F.size("offsets") > 0)
 
-    def __init__(self, patterns: list[bytes]):
-        self.next: list[dict[int, int]] = [{}]
-        self.hits: list[list[int]] = [[]]
-        self.sizes = [len(p) for p in patterns]
-        for n, p in enumerate(patterns):
-            s = 0
-            for c in p:
-                if c not in self.next[s]:
-                    self.next[s][c] = len(self.next)
-                    self.next.append({})
-                    self.hits.append([])
-                s = self.next[s][c]
-            self.hits[s].append(n)
-        self.fail = [0] * len(self.next)
-        todo = deque(self.next[0].values())
-        while todo:
-            s = todo.popleft()
-            for c, t in self.next[s].items():
-                f = self.fail[s]
-                while f and c not in self.next[f]:
-                    f = self.fail[f]
-                self.fail[t] = self.next[f].get(c, 0) if self.next[f].get(c, 0) != t else 0
-                self.hits[t] = self.hits[t] + self.hits[self.fail[t]]
-                todo.append(t)
 
-    def search(self, data: bytes) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in self.sizes]
-        s = 0
-        for i, c in enumerate(data):
-            while s and c not in self.next[s]:
-                s = self.fail[s]
-            s = self.next[s].get(c, 0)
-            for n in self.hits[s]:
-                out[n].append(i - self.sizes[n] + 1)
-        return out
-
-
-def search(df: DataFrame, id_col: str, column: str, patterns: list[str], method: str = "automaton") -> DataFrame:
-    """(id, pattern, offsets) for every pattern that occurs; texts stream in Arrow batches past a bounded pattern list."""
-    raw = [p.encode() for p in patterns]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = Automaton(raw)
-        one = {"kmp": kmp, "naive": naive}.get(method)
-        for frame in frames:
-            rows = []
-            for ident, text in zip(frame["id"], frame["text"]):
-                data = (text or "").encode()
-                found = machine.search(data) if one is None else [one(data, p) for p in raw]
-                rows += [(ident, p, at) for p, at in zip(patterns, found) if at]
-            yield pd.DataFrame(rows, columns=["id", "pattern", "offsets"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(column).alias("text")).mapInPandas(run, "id long, pattern string, offsets array<int>")
+def occurrences(text: Column | str, pattern: str) -> Column:
+    """Number of occurrences, overlapping ones too."""
+    ahead = "(?=" + "".join("\\" + ch if not ch.isalnum() and ch.isascii() else ch for ch in pattern) + ")"
+    return F.regexp_count(text, F.lit(ahead)).cast("long")

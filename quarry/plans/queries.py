@@ -5,13 +5,16 @@ Every result with a limit is in a total order, so a rerun and another engine giv
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import dictionary, edges, graph, huffman, lookup, predicates, ratings, sorting, sqltext, text, units
+from ..operators import anchors, continuations, dictionary, edges, graph, huffman, intervals, lookup, predicates, prefixes, ratings, running, side_table, sorting, sqltext, text, trigrams, units
+from ..sources import edge_table, index, shared, store
 from ..sources import tables as T
+from ..streaming import counters
 from . import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,7 +263,7 @@ def innermost_range(spark, d):
     e = T.read(spark, d, "events")
     r = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("range_id"), F.col("event_id").alias("lo"), (F.col("event_id") + 2000).alias("hi"))
     p = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("at"))
-    return lookup.enclosing(p, r, "user_id", "at", "lo", "hi", "range_id", ["at"]).select("user_id", "at", "range_id")
+    return intervals.enclosing(p, r, "user_id", "at", "lo", "hi", "range_id", ["at"]).select("user_id", "at", "range_id")
 
 
 _DIFF = """with a as (select doc_id, md5(text) as h from documents where doc_id % 7 <> 0), b as (select doc_id, case when doc_id % 11 = 0 then md5(text || 'x') else md5(text) end as h from documents where doc_id % 5 <> 0)
@@ -294,7 +297,7 @@ def fallback_resolution(spark, d):
 
 @query("select doc_id, item_id from documents, benchmark where contains(lower(documents.text), lower(benchmark.text))")
 def containment_theta(spark, d):
-    return text.containing(T.read(spark, d, "documents"), T.read(spark, d, "benchmark"), "doc_id", "item_id")
+    return anchors.containing(T.read(spark, d, "documents"), T.read(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 @query("""select l_orderkey, sum(n)::bigint as lines, sum(q)::bigint as quantity from (select l_orderkey, 1 as n, cast(l_quantity as bigint) as q from lineitem where l_linenumber <= 3 union all select l_orderkey, 1, cast(l_quantity as bigint) from lineitem where l_linenumber > 2) group by l_orderkey""")
@@ -324,6 +327,62 @@ def cascade_delete(spark, d):
     return lookup.cascade(kept, T.read(spark, d, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- stores that change ------------------------------------------------------------------------------
+
+
+def _indexed(spark, d) -> tuple:
+    """The index of documents after two runs: a fifth had other texts in the first one, a tenth is gone in the second, a tenth new."""
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    kept = index.open_index(spark, shared.fresh(spark, "index"), {"symbols": index.SYMBOLS}, 32)
+    first = docs.where("file_id % 10 <> 7").withColumn("text", F.when(F.col("file_id") % 5 == 0, F.concat(F.lit("Former Draft\n"), "text")).otherwise(F.col("text")))
+    run = {"symbols": index.symbols}
+    return kept, [index.update(kept, df, run) for df in (first, docs.where("file_id % 10 <> 3"))]
+
+
+@query("""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where doc_id % 10 <> 3), names as (select doc_id, n, unnest(regexp_extract_all(line, '[A-Z][a-z]+')) as s from lines)
+select doc_id as file_id, s as symbol_name, min(n)::integer as line_number from names group by doc_id, s""")
+def index_update(spark, d):
+    return _indexed(spark, d)[0].read("symbols")
+
+
+@query("""with s as (select doc_id % 10 as m, doc_id % 5 as v, strlen(text) as n from documents) select 1 as run, 'added' as status, count(*) as files from s where m <> 7 union all select 2, 'added', count(*) from s where m = 7
+union all select 2, 'deleted', count(*) from s where m = 3 union all select 2, 'updated', count(*) from s where v = 0 union all select 2, 'unchanged', count(*) from s where v <> 0 and m not in (3, 7)
+union all select unnest([1, 1, 1]), unnest(['deleted', 'updated', 'unchanged']), 0""")
+def index_update_status(spark, d):
+    runs = _indexed(spark, d)[1]
+    return spark.createDataFrame([(i, s, n) for i, run in enumerate(runs, 1) for s, n in run.items()], "run int, status string, files long")
+
+
+#: Contracts as a view over parts.
+_CONTRACTS = "select p_partkey as id, p_name as contract_name, case when p_partkey % 3 = 0 then 'Event' else 'callback_event' end as contract_kind, case when p_size % 5 = 0 then '' else p_brand end as owner_module, concat(' ', upper(p_name)) as used_object_name, case when p_size % 4 = 0 then ' ' else p_brand end as used_module_sys_name"
+
+
+@query(f"""with c as ({_CONTRACTS} from part), e as (select id, lower(contract_name) as n, lower(owner_module) as m from c where contract_kind = 'Event'), cb as (select id, lower(trim(used_object_name)) as n, lower(trim(used_module_sys_name)) as m from c where contract_kind <> 'Event'),
+a as (select n, m, max(id) as id from e where m <> '' group by n, m), b as (select n, max(id) as id from e group by n)
+select 'subscribes_to_event' as relation_type, cb.id as source_id, coalesce(a.id, b.id) as target_id from cb left join a using (n, m) left join b using (n) where coalesce(a.id, b.id) is not null
+union all select 'located_in', s_suppkey, s_nationkey::bigint from supplier""")
+def event_subscriptions(spark, d):
+    """Subscriptions rebuilt in a stored edge table, over ones that hold no more; other kinds stay."""
+    path = shared.fresh(spark, "edges")
+    s = T.read(spark, d, "supplier")
+    edge = lambda kind: s.select(F.lit("supplier").alias("source_type"), F.col("s_suppkey").alias("source_id"), F.lit("nation").alias("target_type"), F.col("s_nationkey").cast("long").alias("target_id"), F.lit("x").alias("confidence"), F.lit(0).alias("line_number"), F.lit(kind).alias("relation_type"))
+    edge_table.save(edge("located_in").union(edge(edge_table.SUBSCRIBES)), path)
+    edge_table.rebuild_subscriptions(spark.sql(f"{_CONTRACTS} from {{part}}", part=T.read(spark, d, "part")), path)
+    return edge_table.load(spark, path).select("relation_type", "source_id", "target_id")
+
+
+@query("""select event_type || ':' || user_id as name, count(*) as games_count, count(*) filter (value >= 66) as wins, count(*) filter (value >= 33 and value < 66) as draws, count(*) filter (value < 33) as losses, round(avg(value), 6) as rating,
+arg_min(event_type, (ts, event_id)) as annotation, strftime(min(ts), '%Y-%m-%d') as code from events group by event_type, user_id""")
+def stream_counters(spark, d):
+    """Events taken as a stream of files into stored counters."""
+    kept = store.Store(spark, shared.fresh(spark, "counters"), counters.TABLES, 16)
+    schema = T.read(spark, d, "events").schema
+    files, at = shared.hadoop(spark, f"{d.rstrip('/')}/events.parquet")
+    folder, glob = (at.toString(), "*.parquet") if files.getFileStatus(at).isDirectory() else (d, "events.parquet")
+    counters.follow(spark, folder, schema, kept, shared.fresh(spark, "stream"), F.concat_ws(":", "event_type", "user_id"), glob=glob).awaitTermination()
+    return kept.read("counters").select("name", *counters.ADDED, F.round("rating", 6).alias("rating"), "annotation", "code")
+
+
 # --- ratings and continuations -------------------------------------------------------------------
 
 _RATED = f"""{M}, tot as (select *, sum(games_count) over (partition by parent)::bigint as total from moves_v),
@@ -346,7 +405,7 @@ def rating_update(spark, d):
 
 @query("select event_id, user_id, (count(*) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)) as before from events")
 def running_total_before(spark, d):
-    return ratings.total_before(T.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "user_id", "before")
+    return running.before(T.read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "before")
 
 
 def _best_sql(depth: int) -> str:
@@ -362,25 +421,79 @@ def best_continuation_d3(spark, d):
     return ratings.best_continuation(ratings.rated(T.moves(spark, d)), 3).select("parent", "child", "value", F.array_join("line", " ").alias("line"))
 
 
-@query(f"""with {M} select a.parent, b.parent as similar_parent, b.child, b.games_count from (select distinct parent from moves_v) a join moves_v b on length(a.parent) = length(b.parent) and a.parent <> b.parent""")
+#: States of users' event streams: kind, side to move, kind before, value band, and an hour that similar states may differ in.
+_STATES = """s as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events),
+st as (select user_id, n, value, event_type || ' ' || case when n % 2 = 1 then 'white' else 'black' end || ' ' || coalesce(lag(event_type) over (partition by user_id order by n), '-') || ' ' || cast(least(2, cast(floor(value / 34) as integer)) as varchar) || ' ' || cast(hour(ts) as varchar) as state, case when n % 2 = 1 then 'white' else 'black' end as color from s),
+steps as (select state as parent, color, lead(state) over (partition by user_id order by n) as child, value from st),
+moves_v as (select parent, color, child, count(*) games_count, count(*) filter (value >= 66) wins, count(*) filter (value >= 33 and value < 66) draws, count(*) filter (value < 33) losses from steps where child is not null group by parent, color, child)"""
+
+
+def _search_sql(count: int, depth: int) -> str:
+    order = "rating desc, games_count desc, origin, child"
+    ctes = [
+        "own as materialized (select parent as state, color, parent as origin, child, rating, games_count, array_to_string(string_split(parent, ' ')[1:4], ' ') as key from rated)",
+        f"few as (select state, key, color from own group by all having count(*) < {count})",
+        f"pairs as (select f.state, f.color, o.origin, o.child, o.rating, o.games_count from few f join own o on o.key = f.key and o.color = f.color and o.origin <> f.state qualify row_number() over (partition by f.state, f.color order by o.rating desc, o.games_count desc, o.origin, o.child) <= {3 * count})",
+        "cand as materialized (select state, color, origin, child, rating, games_count from own union all select * from pairs)",
+        "l1 as (select *, rating as value, child as line from cand)",
+    ]
+    for k in range(2, depth + 1):
+        ctes.append(f"b{k} as (select state, color, value as below, line as rest from l{k - 1} qualify row_number() over (partition by state, color order by value desc, {order.replace('origin, child', 'child, origin')}) = 1)")
+        ctes.append(f"l{k} as materialized (select c.*, round((c.rating + coalesce(b.below, 0.0)) * 100) / 100 as value, c.child || coalesce(' > ' || b.rest, '') as line from cand c left join b{k} b on b.state = c.child and b.color <> c.color)")
+    return f"with {_STATES}, {_RATED[_RATED.index('tot as'):]}, {', '.join(ctes)} select state, color, origin, child, games_count, value::double as value, line from l{depth}"
+
+
+def _state_moves(spark, d) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("n")
+    e = T.read(spark, d, "events").select("user_id", "ts", "value", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
+    color = F.when(F.col("n") % 2 == 1, "white").otherwise("black")
+    state = F.concat_ws(" ", "event_type", color, F.coalesce(F.lag("event_type").over(w), F.lit("-")), F.least(F.lit(2), F.floor(F.col("value") / 34).cast("int")), F.hour("ts"))
+    steps = e.select("user_id", "n", "value", color.alias("color"), state.alias("parent")).withColumn("child", F.lead("parent").over(w)).where("child is not null")
+    v = F.col("value")
+    moves = steps.groupBy("parent", "color", "child").agg(F.count(F.lit(1)).alias("games_count"), F.count_if(v >= 66).alias("wins"), F.count_if((v >= 33) & (v < 66)).alias("draws"), F.count_if(v < 33).alias("losses"))
+    return ratings.rated(moves).withColumnRenamed("parent", "state")
+
+
+@query(_search_sql(3, 3))
+def continuation_search(spark, d):
+    """Lines of three moves from every state, at least three moves wanted of each."""
+    found = continuations.search(_state_moves(spark, d), 3, 3)
+    return found.select("state", "color", F.col("from").alias("origin"), "child", "games_count", "value", F.array_join("line", " > ").alias("line"))
+
+
+@query(f"with {_STATES}, {_RATED[_RATED.index('tot as'):]}, own as (select parent as state, color, parent as origin, child, rating, games_count, array_to_string(string_split(parent, ' ')[1:4], ' ') as key from rated), few as (select state, key, color from own group by all having count(*) < 2) select f.state, o.origin as similar_state, o.child, o.games_count from few f join own o on o.key = f.key and o.color = f.color and o.origin <> f.state qualify row_number() over (partition by f.state order by o.rating desc, o.games_count desc, o.origin, o.child) <= 6")
 def similar_position_moves(spark, d):
-    m = T.moves(spark, d)
-    a = m.select("parent").distinct().withColumn("stem", F.char_length("parent"))
-    b = m.select(F.col("parent").alias("similar_parent"), "child", "games_count").withColumn("stem", F.char_length("similar_parent"))
-    return a.join(b, "stem").where("parent <> similar_parent").select("parent", "similar_parent", "child", "games_count")
+    """The moves that states with fewer than two take from states alike."""
+    found = continuations.candidates(_state_moves(spark, d), 2).where(F.col("state") != F.col("from"))
+    return found.select("state", F.col("from").alias("similar_state"), "child", "games_count")
+
 
+#: Lines are users' events by week, the book those of every tenth user; prefixes as text, whole.
+_LINES = "select user_id * 1000 + week(ts) as id, user_id, list(event_type order by ts, event_id) as moves from events group by user_id, week(ts)"
 
-@query("""with seqs as (select user_id as id, list(event_type order by ts, event_id)[1:6] as moves from events group by user_id), book as (select user_id as code, list(event_type order by ts, event_id)[1:5] as moves from events where user_id % 10 = 0 group by user_id),
-bp as (select lpad(cast(code as varchar), 8, '0') as code, k, array_to_string(moves[1:k], ' ') as prefix from (select code, moves, unnest(range(1, len(moves) + 1)) as k from book)), known as (select prefix, count(*) as n, min(code) as code from bp group by prefix),
+
+@query(f"""with seqs as ({_LINES}), book as (select lpad(cast(id as varchar), 12, '0') as code, moves from seqs where user_id % 10 = 0),
+bp as (select code, k, array_to_string(moves[1:k], ' ') as prefix from (select code, moves, unnest(range(1, len(moves) + 1)) as k from book)), known as (select prefix, count(*) as n, min(code) as code from bp group by prefix),
 sp as (select id, k, array_to_string(moves[1:k], ' ') as prefix from (select id, moves, unnest(range(1, len(moves) + 1)) as k from seqs)), j as (select id, k, n, code from sp left join known using (prefix)),
-stop as (select id, min(k) filter (n is null) as stop, min(k) filter (n = 1) as one from j group by id)
-select s.id, coalesce((select code from j where j.id = s.id and j.k = s.one and (s.stop is null or s.one < s.stop)), (select arg_max(code, k) from j where j.id = s.id and n > 1 and (s.stop is null or k < s.stop)), 'A00') as code from stop s""")
+stop as (select id, min(k) filter (n is null) as stop from j group by id), fit as (select j.* from j join stop using (id) where stop.stop is null or j.k < stop.stop),
+best as (select id, arg_min(code, k) filter (n = 1) as one, arg_max(code, k) filter (n > 1) as many from fit group by id)
+select s.id, coalesce(b.one, b.many, 'A00') as code from seqs s left join best b using (id)""")
 def eco_longest_unique_prefix(spark, d):
     e = T.read(spark, d, "events")
-    seq = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e")).select("user_id", F.transform("e", lambda x: x["event_type"]).alias("m"))
-    lines = seq.select(F.col("user_id").alias("id"), F.slice("m", 1, 6).alias("moves"))
-    book = seq.where("user_id % 10 = 0").select(F.lpad(F.col("user_id").cast("string"), 8, "0").alias("code"), F.slice("m", 1, 5).alias("moves"))
-    return ratings.longest_unique_prefix(lines, book)
+    seq = e.groupBy("user_id", F.weekofyear("ts").alias("week")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    seq = seq.select((F.col("user_id") * 1000 + F.col("week")).alias("id"), "user_id", F.transform("e", lambda x: x["event_type"]).alias("moves"))
+    book = seq.where("user_id % 10 = 0").select(F.lpad(F.col("id").cast("string"), 12, "0").alias("code"), "moves")
+    return prefixes.longest_unique_prefix(seq.select("id", "moves"), book)
+
+
+@query("""with seqs as (select user_id as id, list(event_type order by ts, event_id) as moves from events group by user_id), book as (select lpad(cast(id as varchar), 8, '0') as code, moves from seqs where id % 10 = 0),
+bp as (select code, k, md5(array_to_string(moves[1:k], ' ')) as prefix from (select code, moves, unnest(range(1, len(moves) + 1)) as k from book)) select k, count(*) as nodes, max(n) as most, min(code) as first_code from (select k, prefix, count(*) as n, min(code) as code from bp group by k, prefix) group by k""")
+def prefix_tree_levels(spark, d):
+    """The tree of every tenth user's whole sequence: nodes of each level, the entries of its largest, its lowest code."""
+    e = T.read(spark, d, "events").where("user_id % 10 = 0")
+    seq = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    nodes = prefixes.tree(seq.select(F.lpad(F.col("user_id").cast("string"), 8, "0").alias("code"), F.transform("e", lambda x: x["event_type"]).alias("moves")))
+    return nodes.groupBy("k").agg(F.count(F.lit(1)).alias("nodes"), F.max("n").alias("most"), F.min("code").alias("first_code"))
 
 
 # --- text, dictionaries, order, coding -------------------------------------------------------------
@@ -413,28 +526,55 @@ hits as (select doc_id, pattern, base, c, unnest(list_filter(range(1, 101), lamb
 
 @query(f"{_HITS} select doc_id, pattern, count(*) as n, min(base + strlen(substr(c, 1, i - 1)))::bigint as first_offset, sum(base + strlen(substr(c, 1, i - 1)))::bigint as offset_sum from hits group by doc_id, pattern")
 def substring_offsets(spark, d):
+    found = text.offsets(T.read(spark, d, "documents"), PATTERNS, ["doc_id"])
+    add = F.aggregate("offsets", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.groupBy("doc_id", "pattern").agg(F.sum(F.size("offsets")).alias("n"), F.min(F.array_min("offsets")).alias("first_offset"), F.sum(add).alias("offset_sum"))
+
+
+@query(SQL["substring_offsets"])
+def kmp_offsets(spark, d):
+    """The same places pattern by pattern."""
     docs = T.read(spark, d, "documents")
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), text.offsets("text", p).alias("offsets")) for p in PATTERNS])).alias("x")
-    return _sums(docs.select("doc_id", each).select("doc_id", "x.*").where(F.size("offsets") > 0))
+    add = F.aggregate("offsets", F.lit(0).cast("long"), lambda a, x: a + x)
+    found = reduce(DataFrame.union, [text.offsets(docs, [p], ["doc_id"]) for p in PATTERNS])
+    return found.groupBy("doc_id", "pattern").agg(F.sum(F.size("offsets")).alias("n"), F.min(F.array_min("offsets")).alias("first_offset"), F.sum(add).alias("offset_sum"))
 
 
-def _sums(found: DataFrame) -> DataFrame:
-    o = F.transform("offsets", lambda x: x.cast("long"))
-    return found.select("doc_id", "pattern", F.size("offsets").cast("long").alias("n"), F.array_min(o).alias("first_offset"), F.aggregate(o, F.lit(0).cast("long"), lambda a, x: a + x).alias("offset_sum"))
+@query(f"with p(pattern) as (values {_PATTERN_LIST}), pieces as (select doc_id, text, unnest(range(0, length(text), 100)) as k from documents), cut as (select doc_id, pattern, k, substr(text, k + 1, 99 + length(pattern)) as c from pieces, p), hits as (select doc_id, pattern, k, unnest(list_filter(range(1, 101), lambda i: substr(c, i, length(pattern)) = pattern)) as i from cut where contains(c, pattern)) select doc_id, pattern, count(*) as n, min(k + i - 1)::bigint as first_place, sum(k + i - 1)::bigint as place_sum from hits group by doc_id, pattern")
+def dfa_offsets(spark, d):
+    """All patterns in one pass, by their anchors; places in characters."""
+    found = anchors.hits(T.read(spark, d, "documents"), spark.createDataFrame([(p,) for p in PATTERNS], "p string"), "doc_id", "p")
+    return found.groupBy(F.col("id").alias("doc_id"), "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_place"), F.sum("at").alias("place_sum"))
 
 
-def _offsets(spark, d, method):
-    return _sums(text.search(T.read(spark, d, "documents"), "doc_id", "text", PATTERNS, method).withColumnRenamed("id", "doc_id"))
+@query("""with p as (select distinct w as pattern, length(w) as m from (select unnest(regexp_split_to_array(lower(text), '\\s+')) as w from benchmark) where w <> ''), lens as materialized (select distinct m from p), t as (select lower(text) as t from documents),
+pieces as (select t, unnest(range(0, length(t), 100)) as k from t), c as (select substr(t, k + 1, 100 + (select max(m) from p)) as c, least(100, length(t) - k) as n from pieces),
+subs as (select m, unnest(list_transform(range(1, n + 1), lambda i: substr(c, i, m))) as s from c, lens), found as (select pattern, count(*) as n from subs join p on s = pattern and subs.m = p.m group by pattern) select pattern, coalesce(n, 0)::bigint as n from p left join found using (pattern)""")
+def benchmark_word_counts(spark, d):
+    """How often documents have each word of the benchmark, overlapping places and places inside other words too."""
+    words = T.read(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("pattern")).where("pattern != ''").distinct()
+    found = anchors.hits(T.read(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), words, "doc_id", "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(SQL["substring_offsets"])
-def kmp_offsets(spark, d):
-    return _offsets(spark, d, "kmp")
+@query("select doc_id, lang, source from documents where text ilike '%licensed_under%'")
+def fragment_search_indexed(spark, d):
+    """The substring search by the index, its documents added in two batches."""
+    docs = T.read(spark, d, "documents")
+    kept = trigrams.open_index(spark, shared.fresh(spark, "trigrams"), buckets=16)
+    for part in (0, 1):
+        trigrams.add(kept, docs.where(F.col("doc_id") % 2 == part))
+    return docs.select("doc_id", "lang", "source").join(trigrams.search(kept, "Licensed_under").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
 
-@query(SQL["substring_offsets"])
-def dfa_offsets(spark, d):
-    return _offsets(spark, d, "automaton")
+@query("select 'events' as source, event_id::varchar as item, case when event_type = 'error' then 'event of kind error at ' || user_id else 'value over 99: ' || event_type end as message from events where event_type = 'error' or value > 99")
+def error_table(spark, d):
+    """Events that fail a check, from the one pass that also writes the good ones."""
+    e = T.read(spark, d, "events")
+    bad = F.when(F.from_json("props", "k bigint")["k"].isNull(), "props without k").when(F.col("event_type") == "error", F.concat(F.lit("event of kind error at "), "user_id")).when(F.col("value") > 99, F.concat(F.lit("value over 99: "), "event_type"))
+    path = shared.fresh(spark, "checked-events")
+    side_table.split(e, path, bad, F.lit("events"), F.col("event_id"))
+    return side_table.errors(spark, path, e.schema)
 
 
 @query(f"{_HITS} select pattern, count(i)::bigint as n from p left join hits using (pattern) group by pattern")
