@@ -446,6 +446,14 @@ def test_near_dedup_odd(spark):
     assert out.columns == docs_of(spark, ODD).columns and out.count() < len(ODD)
 
 
+def test_near_dedup_of_ids_on_different_texts(spark):
+    a, b = "one two three four five six seven eight nine ten " * 3, "red green blue black white brown pink grey gold teal " * 3
+    rows = [(7, a), (7, b), (3, b + "extra"), (7, b), (8, a + "more"), (8, a.replace(" ", "  ")), (None, b), (9, "short"), (9, None)]
+    df = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((str(r.doc_id), r.text) for r in near_dedup.keep_one(df).collect()), key=str)
+    assert got == sorted([("7", a), ("3", b + "extra"), ("9", "short"), ("9", None)], key=str)
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
