@@ -52,8 +52,9 @@ def _in_file(df: DataFrame, c: Tables, how: str = "inner") -> DataFrame:
     return df.join(_files(c), "file_id", how)
 
 
-def _top(df: DataFrame, limit: int, *order) -> DataFrame:
-    return df.orderBy(*order).limit(limit)
+def _top(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    """The first rows in order; all of them where the limit is left out or not positive."""
+    return df.orderBy(*order).limit(limit) if limit and limit > 0 else df.orderBy(*order)
 
 
 def _ci(columns: list[str], value: str, like: bool) -> Column:
@@ -90,12 +91,12 @@ def _symbols(c: Tables) -> DataFrame:
     return named.select("id", "file_id", "entity_id", F.col("symbol_name").alias("name"), F.col("symbol_type").alias("type"), "entity_type", "file", "line_number", "signature")
 
 
-def symbol(c: Tables, name: str, type_: str = "", like: bool = False, limit: int = 100) -> DataFrame:
+def symbol(c: Tables, name: str, type_: str = "", like: bool = False, limit: int | None = 100) -> DataFrame:
     found = _symbols(c).where(name_lookup(["name"], name, like))
     return _top(predicates.filtered(found, equal={"type": type_}), limit, "name", "id")
 
 
-def content(c: Tables, text: str, limit: int = 100) -> DataFrame:
+def content(c: Tables, text: str, limit: int | None = 100) -> DataFrame:
     """Symbols whose name or signature contains the text."""
     return _top(_symbols(c).where(name_lookup(["name", "signature"], text, like=True)), limit, "name", "id")
 
@@ -117,7 +118,7 @@ def _ends(edges: DataFrame, c: Tables) -> DataFrame:
     return edges.select("id", "relation_type", *_texts("confidence"), _none("line_number", 0), "source", "target")
 
 
-def relations_of(c: Tables, source_type: str = "", source_id: int = 0, target_type: str = "", target_id: int = 0, relation_type: str = "", limit: int = 100) -> DataFrame:
+def relations_of(c: Tables, source_type: str = "", source_id: int = 0, target_type: str = "", target_id: int = 0, relation_type: str = "", limit: int | None = 100) -> DataFrame:
     """Edges by the ids of their ends; at least one filter is required, and an id needs its type."""
     if (source_id and not source_type) or (target_id and not target_type):
         raise ValueError("an id needs its type")
@@ -125,7 +126,7 @@ def relations_of(c: Tables, source_type: str = "", source_id: int = 0, target_ty
     return _ends(_top(predicates.filtered(c["relations"], equal=equal, require=True), limit, F.desc("id")), c).orderBy(F.desc("id"))
 
 
-def relations(c: Tables, source_type: str = "", source_name: str = "", target_type: str = "", target_name: str = "", relation_type: str = "", limit: int = 100) -> DataFrame:
+def relations(c: Tables, source_type: str = "", source_name: str = "", target_type: str = "", target_name: str = "", relation_type: str = "", limit: int | None = 100) -> DataFrame:
     """Edges by the types and (parts of the) names of their ends; one semi-join a named end, whatever its type."""
     for type_, name in ((source_type, source_name), (target_type, target_name)):
         if name.strip() and type_ and type_ not in VERTICES:
@@ -140,7 +141,7 @@ def relations(c: Tables, source_type: str = "", source_name: str = "", target_ty
     return _ends(_top(found, limit, F.desc("id")), c).orderBy(F.desc("id"))
 
 
-def inspect(c: Tables, name: str, type_: str = "", entity_type: str = "", limit: int = 100) -> DataFrame:
+def inspect(c: Tables, name: str, type_: str = "", entity_type: str = "", limit: int | None = 100) -> DataFrame:
     """(symbol, incoming, outgoing, neighbors) of each symbol that contains the name, best match first; at most ``limit`` newest edges a symbol and side."""
     found = _symbols(c).where(F.col("name").ilike(predicates.pattern(name)))
     score = graph.relevance(name.strip(), type_, entity_type)
@@ -168,7 +169,7 @@ def _first(df: DataFrame, group: str, order: list[str], limit: int) -> DataFrame
     return rows.where(F.col("turn") <= limit)
 
 
-def table(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def table(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     """Uses by name and context, with up to 20 files, 50 columns and 20 procedures of the table."""
     uses = c["sql_tables"].where(_ci(["table_name"], name, like)).groupBy("table_name", "context").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("usages"))
     best = _top(uses, limit, F.desc("usages"), "table_name", "context")
@@ -184,12 +185,12 @@ def table(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFra
     return out.select("id", some(F.col("f.file_id"), "file_ids"), "table_name", "context", some(F.col("f.file"), "files"), "usages", some(F.col("columns"), "columns"), some(F.col("procedures"), "procedures")).orderBy(F.desc("usages"), "table_name", "context")
 
 
-def table_schema(c: Tables, name: str, limit: int = 100) -> DataFrame:
+def table_schema(c: Tables, name: str, limit: int | None = 100) -> DataFrame:
     rows = _in_file(c["sql_column_definitions"].where(F.col("table_name") == name), c)
     return _top(rows, limit, "table_name", "column_order", "line_number", "id").select("table_name", "column_name", "data_type", "definition_kind", "file", "file_id", "line_number", "column_order")
 
 
-def table_index(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def table_index(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_file(c["sql_index_definitions"].where(_ci(["index_name", "table_name"], name, like)), c)
     rows = _top(rows, limit, "table_name", "index_name", F.desc("id")).select("id", "table_name", "index_name", *_texts("index_fields", "index_type"), "is_unique", "definition_kind", "file", "file_id", "line_number")
     return _nested(rows, c["sql_index_definition_fields"], "table_index_id", ["field_order", "id"], [F.col(x) for x in ("field_name", "field_order", "line_number")], "fields").orderBy("table_name", "index_name", F.desc("id"))
@@ -201,7 +202,7 @@ def procedure(c: Tables, name: str) -> DataFrame:
     return rows.select("id", "file_id", "proc_name", F.coalesce("parameters", F.array()).alias("params"), *_texts("file"), "line_start", "line_end", *_texts("body_hash"))
 
 
-def callers(c: Tables, name: str, limit: int = 100) -> DataFrame:
+def callers(c: Tables, name: str, limit: int | None = 100) -> DataFrame:
     """What calls procedures that contain the name, directly or through one procedure more."""
     edges = c["relations"].where(F.col("target_type") == "sql_procedure")
     procs = vertices(c, ["sql_procedure"])
@@ -223,7 +224,7 @@ def callers(c: Tables, name: str, limit: int = 100) -> DataFrame:
     return _top(out, limit, "is_indirect", "caller_type", "caller_name", "caller_id", "line_number", "via_procedure", "relation_type").select("caller_id", "caller_name", "caller_type", *_texts("file"), "line_number", *_texts("call_context"), "is_indirect", "via_procedure", "relation_type")
 
 
-def methods(c: Tables, table_name: str, limit: int = 100) -> DataFrame:
+def methods(c: Tables, table_name: str, limit: int | None = 100) -> DataFrame:
     """Methods that run or build a query that refers to the table; a method without a class has a null class."""
     used = c["sql_tables"].where(predicates.equals_ci("table_name", table_name)).select(F.col("id").alias("target_id"), F.col("table_name").alias("table_usage"))
     edge = lambda s, t, kinds: c["relations"].where((F.col("source_type") == s) & (F.col("target_type") == t) & F.col("relation_type").isin(kinds)).select("source_id", "target_id")
@@ -239,12 +240,12 @@ def methods(c: Tables, table_name: str, limit: int = 100) -> DataFrame:
 # --- forms, fragments, reports, scripts, instruments --------------------------------------------------
 
 
-def form(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def form(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_file(c["dfm_forms"].where(name_lookup(["form_name", "form_class", "caption"], name, like)), c)
     return _top(rows, limit, "form_name", "line_start", "id").select("id", "file_id", "form_name", "form_class", *_texts("caption"), "file", "line_start", "line_end")
 
 
-def form_component(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def form_component(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     """Components with the field of the class that holds them, a row a field."""
     forms = c["dfm_forms"].select(F.col("id").alias("form_id"), "form_name", "form_class")
     fields = c["pas_fields"].select(F.col("dfm_component_id").alias("id"), F.col("field_name").alias("pas_field_name"), F.col("field_type").alias("pas_field_type"))
@@ -253,13 +254,13 @@ def form_component(c: Tables, name: str, like: bool = False, limit: int = 100) -
     return _top(rows, limit, "form_name", "line_start", "id", "pas_field_name")
 
 
-def sql_fragment(c: Tables, text: str, limit: int = 100) -> DataFrame:
+def sql_fragment(c: Tables, text: str, limit: int | None = 100) -> DataFrame:
     rows = _in_file(c["query_fragments"].where(F.col("query_text").ilike(predicates.pattern(text))), c)
     out = rows.select("id", "file_id", "parent_type", "parent_id", *_texts("component_name", "component_type"), "query_text", F.coalesce("tables_referenced", F.array()).alias("tables_referenced"), *_texts("context"), "file", "line_number")
     return _top(out, limit, "file_id", "line_number", "id")
 
 
-def report_form(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def report_form(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_file(c["report_forms"].where(name_lookup(["report_name", "form_name"], name, like)), c)
     return _top(rows, limit, "report_name", "line_start", "id").select("id", "file_id", "report_name", "report_type", *_texts("form_name", "form_class"), "file", "line_start", "line_end")
 
@@ -269,25 +270,25 @@ def _in_report(c: Tables, table_: str) -> DataFrame:
     return c[table_].join(forms, "report_form_id")
 
 
-def report_field(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def report_field(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_report(c, "report_fields").where(name_lookup(["field_name", "source_name", "report_name", "raw_text"], name, like))
     out = rows.select("id", "report_form_id", "field_name", *_texts("source_name", "format_mask"), F.coalesce("options", F.array()).alias("options"), "report_name", "report_type", "file", "line_number", *_texts("raw_text"))
     return _top(out, limit, "report_name", "line_number", "id")
 
 
-def report_param(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def report_param(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_report(c, "report_params").where(name_lookup(["param_name", "lookup_table", "lookup_column", "raw_text"], name, like))
     texts = _texts("component_type", "data_type", "lookup_form", "lookup_table", "lookup_column", "key_column", "default_value")
     out = rows.select("id", "report_form_id", "param_name", "param_kind", *texts, _none("required", False), "report_name", "report_type", "file", "line_number", *_texts("raw_text"))
     return _top(out, limit, "report_name", "line_number", "id")
 
 
-def vb_function(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def vb_function(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_report(c, "vb_functions").where(name_lookup(["function_name"], name, like))
     return _top(rows, limit, "function_name", "line_start", "id").select("id", "report_form_id", "function_name", "function_type", *_texts("signature"), "report_name", "file", "line_start", "line_end")
 
 
-def js_function(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def js_function(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     rows = _in_file(c["js_functions"].where(name_lookup(["function_name"], name, like)), c)
     return _top(rows, limit, "line_start", "id").select("id", "file_id", "function_name", "file", F.col("line_start").alias("line_number"), "line_end", *_texts("signature", "scenario_type"))
 
@@ -298,11 +299,11 @@ def _instruments(rows: DataFrame, limit: int) -> DataFrame:
     return _top(out, limit, "instrument_name", "id")
 
 
-def smf_instrument(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def smf_instrument(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     return _instruments(_in_file(c["smf_instruments"], c).where(name_lookup(["instrument_name", "brief", "file"], name, like)), limit)
 
 
-def smf_type(c: Tables, type_: str, limit: int = 100) -> DataFrame:
+def smf_type(c: Tables, type_: str, limit: int | None = 100) -> DataFrame:
     return _instruments(_in_file(c["smf_instruments"].where(F.col("scenario_type") == type_), c), limit)
 
 
@@ -312,7 +313,7 @@ _FIELD = lambda required: [F.col("field_name"), F.coalesce("type_name", F.lit(""
 _CONTRACT = ["business_object", "contract_name", "contract_kind"]
 
 
-def api_contract(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def api_contract(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     """Contracts with their parameters and tables (with fields), by direction and order."""
     rows = _in_file(c["api_contracts"].where(name_lookup(["contract_name"], name, like)), c)
     rows = _top(rows, limit, "contract_name", F.desc("id")).select("id", "file_id", *_texts("business_object"), "contract_name", "contract_kind", _none("object_type_id", 0), *_texts("owner_module", "used_object_name", "used_module_sys_name", "short_description", "full_description"), "file", "line_start", "line_end")
@@ -324,7 +325,7 @@ def api_contract(c: Tables, name: str, like: bool = False, limit: int = 100) ->
     return _nested(out, tables, "contract_id", ["direction", "param_order", "id"], kids, "tables").orderBy("contract_name", F.desc("id"))
 
 
-def api_table(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def api_table(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     """Tables of contracts and of business objects, tagged, with their fields."""
     owners = c["api_contracts"].select(F.col("id").alias("contract_id"), *_CONTRACT, "file_id")
     own = c["api_contract_tables"].where(name_lookup(["table_name"], name, like)).join(owners, "contract_id", "left").withColumn("source", F.lit("contract"))
@@ -339,14 +340,14 @@ def api_table(c: Tables, name: str, like: bool = False, limit: int = 100) -> Dat
     return _nested(keyed, a.unionByName(b), "of", ["param_order", "id"], fields, "fields", "key").drop("key").orderBy("table_name", F.desc("id"), "source")
 
 
-def api_table_index(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def api_table_index(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     owners = _in_file(c["api_business_object_tables"].select(F.col("id").alias("business_table_id"), "business_object", "table_name", "file_id"), c).drop("file_id")
     rows = c["api_business_object_table_indexes"].join(owners, "business_table_id").where(_ci(["index_name", "table_name"], name, like))
     best = _top(rows, limit, "table_name", "index_name", F.desc("id")).select("id", "business_table_id", "business_object", "table_name", "index_name", *_texts("index_fields"), "index_type", "is_clustered", "file", "line_number")
     return _nested(best, c["api_business_object_table_index_fields"], "table_index_id", ["field_order", "id"], [F.col(x) for x in ("field_name", "field_order", "line_number")], "fields").orderBy("table_name", "index_name", F.desc("id"))
 
 
-def api_param(c: Tables, name: str, like: bool = False, limit: int = 100) -> DataFrame:
+def api_param(c: Tables, name: str, like: bool = False, limit: int | None = 100) -> DataFrame:
     owners = c["api_contracts"].select(F.col("id").alias("contract_id"), *_CONTRACT, "file_id")
     rows = _in_file(c["api_contract_params"].where(name_lookup(["param_name"], name, like)).join(owners, "contract_id", "left"), c, "left")
     out = rows.select("id", "contract_id", *_texts(*_CONTRACT), "direction", "param_name", *_texts("type_name"), _none("required", False), *_texts("description", "file"), "line_number")
@@ -371,15 +372,15 @@ def _related_top(rows: DataFrame, limit: int) -> DataFrame:
     return _top(rows, limit, "contract_name", "is_indirect", "procedure_name", "contract_id", "procedure_id", "relation_type", "via_procedure")
 
 
-def api_impl(c: Tables, name: str, limit: int = 100) -> DataFrame:
+def api_impl(c: Tables, name: str, limit: int | None = 100) -> DataFrame:
     return _related_top(_related(c, name, "implements_contract"), limit)
 
 
-def api_consumers(c: Tables, name: str, limit: int = 100) -> DataFrame:
+def api_consumers(c: Tables, name: str, limit: int | None = 100) -> DataFrame:
     return _related_top(_related(c, name, "executes_contract").drop("contract_kind"), limit)
 
 
-def api_publishers(c: Tables, name: str, limit: int = 100) -> DataFrame:
+def api_publishers(c: Tables, name: str, limit: int | None = 100) -> DataFrame:
     """Publishing procedures, direct and onward, and the callback contracts that subscribe to the event."""
     ends = c["api_contracts"].select("id", "contract_name", F.lower("contract_kind").alias("kind"), "file_id")
     events = ends.where(F.col("contract_name").ilike(predicates.pattern(name)) & (F.col("kind") == "event")).select(F.col("id").alias("contract_id"), "contract_name")
@@ -432,7 +433,7 @@ def health(c: Tables) -> DataFrame:
 # --- games -------------------------------------------------------------------------------------------------
 
 
-def games(c: Tables, white: str = "", black: str = "", result: str = "", eco: str = "", limit: int = 100) -> DataFrame:
+def games(c: Tables, white: str = "", black: str = "", result: str = "", eco: str = "", limit: int | None = 100) -> DataFrame:
     found = predicates.filtered(c["games"], equal={"result": result, "eco_code": eco}, like={"white_player": white, "black_player": black})
     return _top(found, limit, F.desc("created_at"), "id")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def total(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
@@ -20,15 +22,21 @@ def ranged(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
-def placed(df: DataFrame, first: str, *rest: str, name: str = "place", parts: int = 32) -> DataFrame:
-    """Adds each row's place in the total order (a null first), without one task for all rows: ranges by bounds of the number
-    ``first``, a row number inside each, and the number of rows in the ranges before.  The driver sees a count a range."""
-    bounds = sorted(set(df.approxQuantile(first, [i / parts for i in range(1, parts)], 0.005)))
-    low = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    rows = df.withColumn("__range", F.coalesce(F.size(F.filter(low, lambda b: b <= F.col(first))), F.lit(0)))
+def placed(df: DataFrame, *keys: str, name: str = "place", parts: int | None = None) -> DataFrame:
+    """Adds each row's place in the total order (nulls first), without one task for all rows.
+
+    Rows are range-partitioned by all keys, so equal values of the first are
+    spread by the others; a row number inside each range follows the number of
+    rows in the ranges before.  The driver sees a count a range.  Rows equal in
+    all keys take their places in any order."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    rows = written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     counts = {r["__range"]: r["n"] for r in rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = [sum(n for k, n in counts.items() if k < i) for i in range(len(bounds) + 1)]
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(first).asc_nulls_first(), *rest))
+    before = [0]
+    for i in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(i, 0))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return rows.withColumn(name, F.element_at(F.array(*[F.lit(b) for b in before]), F.col("__range") + 1).cast("long") + inside).drop("__range")
 
 

@@ -109,10 +109,17 @@ def _flat(df: DataFrame, column: str, *fields: str) -> DataFrame:
     return df.withColumn(column, F.array_join(F.transform(column, one), ";"))
 
 
-def _edge_sql(where: str, limit: int) -> str:
-    return f"""select r.id, r.relation_type, r.line_number, r.source_type || ':' || r.source_id || ':' || coalesce(a.name, r.source_type || ':' || r.source_id) || ':' || coalesce(a.file, '') as source,
+def _edge_sql(where: str, limit: int, source: str, target: str) -> str:
+    """The limited edges first, then their ends: those of the named types, others as type:id."""
+    return f""", picked as materialized (select * from v_relations r where {where} order by id desc limit {limit})
+select r.id, r.relation_type, r.line_number, r.source_type || ':' || r.source_id || ':' || coalesce(a.name, r.source_type || ':' || r.source_id) || ':' || coalesce(a.file, '') as source,
 r.target_type || ':' || r.target_id || ':' || coalesce(b.name, r.target_type || ':' || r.target_id) || ':' || coalesce(b.file, '') as target
-from (select * from v_relations r where {where} order by id desc limit {limit}) r left join vertex a on a.type = r.source_type and a.id = r.source_id left join vertex b on b.type = r.target_type and b.id = r.target_id"""
+from picked r left join ({source}) a on a.type = r.source_type and a.id = r.source_id left join ({target}) b on b.type = r.target_type and b.id = r.target_id"""
+
+
+_PROCEDURES = "select 'sql_procedure' as type, t.id, t.proc_name as name, f.rel_path as file from v_sql_procedures t left join v_files f on f.id = t.file_id"
+_CALLERS = _PROCEDURES + " union all select 'query_fragment', t.id, coalesce(nullif(trim(component_name), ''), nullif(trim(component_type), ''), 'query_fragment'), f.rel_path from v_query_fragments t left join v_files f on f.id = t.file_id"
+_USED = _PROCEDURES + "".join(f" union all select '{k}', t.id, t.{n}, f.rel_path from v_{t} t left join v_files f on f.id = t.file_id" for k, t, n in (("sql_table", "sql_tables", "table_name"), ("api_contract", "api_contracts", "contract_name")))
 
 
 def _edge_rows(df: DataFrame) -> DataFrame:
@@ -135,12 +142,12 @@ def named_file_by_path(c):
     return named.file_by_path(c, "Supplier#000000007.sql").select("id", "path", "rel_path", "extension")
 
 
-@query(_edge_sql("target_type = 'sql_procedure' and relation_type = 'calls_procedure' and exists (select 1 from vertex v where v.type = r.source_type and v.id = r.source_id and v.name ilike '%0001%')", 50))
+@query(_edge_sql(f"target_type = 'sql_procedure' and relation_type = 'calls_procedure' and exists (select 1 from ({_CALLERS}) v where v.type = r.source_type and v.id = r.source_id and v.name ilike '%0001%')", 50, _CALLERS, _PROCEDURES))
 def named_relations(c):
     return _edge_rows(named.relations(c, source_name="0001", target_type="sql_procedure", relation_type="calls_procedure", limit=50))
 
 
-@query(_edge_sql("source_type = 'sql_procedure' and source_id = 7", 100))
+@query(_edge_sql("source_type = 'sql_procedure' and source_id = 7", 100, _PROCEDURES, _USED))
 def named_relations_of(c):
     return _edge_rows(named.relations_of(c, "sql_procedure", 7))
 

@@ -612,9 +612,10 @@ def sort_total(spark, d):
     return sorting.placed(T.read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
-@query("select o_orderkey, (o_orderkey % 10)::integer as d0, (o_orderkey // 10 % 10)::integer as d1, (o_orderkey // 100 % 10)::integer as d2 from orders")
+@query("select o_orderkey, " + ", ".join(f"(o_orderkey // {256**i} % 256)::integer as d{i}" for i in range(7)) + " from orders")
 def sort_radix_digits(spark, d):
-    return T.read(spark, d, "orders").select("o_orderkey", *sorting.digits("o_orderkey", 3)).orderBy("d2", "d1", "d0", "o_orderkey")
+    """Order by the digits of the whole key, the most significant first."""
+    return T.read(spark, d, "orders").select("o_orderkey", *sorting.digits("o_orderkey", 7, 256)).orderBy(*[f"d{i}" for i in reversed(range(7))])
 
 
 @query("select l_orderkey, l_linenumber, l_extendedprice from lineitem")
@@ -627,13 +628,12 @@ def top_k(spark, d):
     return T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey").limit(10)
 
 
-_BYTES = "select ascii(chr(0)) where false"
-_HIST = "with h as (select unnest(regexp_extract_all(hex(encode(p_name)), '..')) as h from part) select ('0x' || h)::integer as byte, count(*) as n from h group by h"
+_HIST = "with h as (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) select ('0x' || h)::integer as byte, count(*) as n from h group by h"
 
 
 @query(_HIST)
 def byte_histogram(spark, d):
-    return huffman.histogram(T.read(spark, d, "part"), F.col("p_name").cast("binary"))
+    return huffman.histogram(T.read(spark, d, "documents"), F.col("text").cast("binary"))
 
 
 @query(f"with f as ({_HIST}), t as (select max(n) as top from f) select byte, n, case when top > 255 then greatest(1, n * 255 // top) else n end::bigint as weight from f, t")

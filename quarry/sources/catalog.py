@@ -7,9 +7,11 @@ derives from natural keys, so a rerun gives the same ids in any order.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The tables and their columns.  Every table but those marked has a long `id` first.
 SCHEMAS = {
@@ -74,6 +76,11 @@ def schema(name: str) -> str:
     return SCHEMAS[name] if name in OWN_KEY else f"id long, {SCHEMAS[name]}"
 
 
+@cache
+def _struct(name: str) -> StructType:
+    return StructType.fromDDL(schema(name))
+
+
 def key(*parts: Column | str) -> Column:
     """A long id from a natural key: positive, the same in every run.
 
@@ -98,11 +105,11 @@ class Catalog(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise KeyError(name)
-        wanted = self.spark.createDataFrame([], schema(name))
         if name not in self.tables:
-            return wanted
+            return self.spark.createDataFrame([], schema(name))
         table = self.tables[name]
-        return table.select(*[(F.col(f.name) if f.name in table.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.schema])
+        held = set(table.columns)
+        return table.select(*[(F.col(f.name) if f.name in held else F.lit(None)).cast(f.dataType).alias(f.name) for f in _struct(name)])
 
     def __iter__(self) -> Iterator[str]:
         return iter(SCHEMAS)

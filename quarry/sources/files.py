@@ -21,8 +21,6 @@ EXTENSIONS = [
     ("dfm", "WIN1251", "DFM"), ("tpr", "CP866", "TPR"), ("rpt", "WIN1251", "RPT"), ("xml", "UTF8", "XML"), ("t01", "CP866", "T01"),
 ]
 CODECS = {"CP866": "cp866", "WIN1251": "cp1251", "UTF8": "utf-8"}
-# Runs of characters that show a wrong code page.
-GARBLED = re.compile("[╚╩╘╟╤╥╦╧╨╩╪╫╬═│└┘├┤]{3,}|[ÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞß]{3,}")
 TRY_IN_ORDER = ("WIN1251", "CP866", "UTF8")
 
 
@@ -71,14 +69,22 @@ def decode_bytes(data: bytes | None, encoding: str | None) -> str | None:
     return None if data is None else bytes(data).decode(CODECS.get(encoding or "UTF8", "utf-8"), "replace")
 
 
+def cyrillic_share(text: str) -> float:
+    """The share of Russian letters among the characters beyond ASCII; 1 where there are none."""
+    beyond = [c for c in text if not c.isascii()]
+    return sum("А" <= c <= "я" or c in "Ёё" for c in beyond) / len(beyond) if beyond else 1.0
+
+
 def first_plausible(data: bytes | None, order: Iterable[str] = TRY_IN_ORDER) -> str | None:
-    """The first decoding without runs of a wrong code page; the last in order where none is without."""
-    text = None
-    for encoding in order:
-        text = decode_bytes(data, encoding)
-        if text is None or not GARBLED.search(text):
-            break
-    return text
+    """The decoding that gives most Russian letters, by case as people write; the first in order of several."""
+    if data is None:
+        return None
+
+    def likely(text: str) -> tuple[float, float]:
+        words = re.findall("[А-яЁё]+", text)
+        return round(cyrillic_share(text), 2), sum(w.islower() or w.isupper() or w.istitle() for w in words) / len(words) if words else 0.0
+
+    return max((decode_bytes(data, e) for e in order), key=likely)  # the first of equals
 
 
 def utf8_or_1251(data: bytes | None) -> str | None:

@@ -95,7 +95,15 @@ def test_envelopes(spark, tmp_path):
     got = envelope.success(df, "symbol", 100, {"name": "a", "type": ""})
     assert got == {"success": True, "format_version": "1.0", "command": "symbol", "count": 2, "items": [{"k": 1, "v": "a"}, {"k": 2, "v": None}], "meta": {"limit": 100, "filters": {"name": "a"}}}
     assert envelope.success(df.where("false"), "symbol", 5)["items"] == []
-    assert envelope.failure("query failed: x", "c")["error"]["code"] == "query_failed" and envelope.error_code("config not loaded") == "config_error" and envelope.error_code("?") == "internal_error"
+    assert envelope.failure(envelope.Unconfigured("none"), "c")["error"] == {"code": "config_error", "message": "none"} and envelope.error_code(OSError()) == "internal_error"
+    with pytest.raises(Exception) as wrong:
+        df.select("no_such_column")
+    assert envelope.error_code(wrong.value) == "query_failed"
+    from quarry.operators import predicates
+
+    with pytest.raises(ValueError) as empty:
+        predicates.filtered(df, equal={"a": ""}, require=True)
+    assert envelope.error_code(empty.value) == "invalid_arguments"
     envelope.ndjson(df, str(tmp_path / "out"))
     assert sorted(json.loads(r.value)["k"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [1, 2]
 
