@@ -22,6 +22,11 @@ def scaled(hist: DataFrame) -> DataFrame:
     return hist.join(F.broadcast(top), F.lit(True)).select("byte", "n", F.when(F.col("top") > 255, F.greatest(F.lit(1), F.expr("n * 255 div top"))).otherwise(F.col("n")).cast("long").alias("weight"))
 
 
+def ratio(packed: Column, plain: Column) -> Column:
+    """The packed size in whole per cent of the plain one, rounded down; null for nothing."""
+    return F.floor(packed * 100 / F.nullif(plain, F.lit(0))).cast("long")
+
+
 def weights(data: bytes) -> dict[int, int]:
     counts: dict[int, int] = {}
     for b in data:

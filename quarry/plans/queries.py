@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes
-from ..operators import anchors, continuations, dictionary, edges, graph, huffman, intervals, lookup, predicates, prefixes, ratings, running, side_table, sorting, sqltext, text, trigrams, units
+from ..operators import anchors, continuations, dictionary, edges, games, graph, huffman, intervals, lookup, predicates, prefixes, ratings, running, side_table, sorting, sqltext, text, trigrams, units
 from ..sources import edge_table, index, shared, store
 from ..sources import tables as T
 from ..streaming import counters
@@ -371,6 +371,43 @@ def event_subscriptions(spark, d):
     return edge_table.load(spark, path).select("relation_type", "source_id", "target_id")
 
 
+@query("select 'g' || o_orderkey as id, 'c' || o_custkey as white_player, o_orderpriority as black_player, case when o_orderkey % 4 = 0 then '1-0' else o_orderstatus end as result, o_orderkey % 4 = 0 as processed from orders where o_orderkey % 7 <> 0")
+def game_changes(spark, d):
+    """Orders as games: saved, a quarter changed, a seventh removed, by three tables of changes."""
+    kept = games.open_games(spark, shared.fresh(spark, "games"), 16)
+    o = T.read(spark, d, "orders").withColumn("id", F.concat(F.lit("g"), "o_orderkey"))
+    games.save(kept, o.select("id", F.concat(F.lit("c"), "o_custkey").alias("white_player"), F.col("o_orderpriority").alias("black_player"), F.col("o_orderstatus").alias("result")), "id")
+    games.change(kept, o.where("o_orderkey % 4 = 0").select("id", F.lit("1-0").alias("result"), F.lit(True).alias("processed")))
+    games.delete(kept, o.where("o_orderkey % 7 = 0"))
+    return kept.read("games").select("id", "white_player", "black_player", "result", "processed")
+
+
+#: A games base as views over events, users and parts.
+_BASE = {
+    "positions": "select event_id as position_hash from {events}",
+    "moves": "select event_id as id, value as rating, cast(user_id % 5 as int) as games_count, case when user_id % 11 = 0 then '' when user_id % 13 <> 0 then concat('B', cast(user_id % 40 as string)) end as eco_code from {events}",
+    "games": "select cast(o_orderkey as string) as id from {orders}",
+    "eco_codes": "select concat('B', cast(p_partkey as string)) as code, p_name as name from {part}",
+}
+
+
+def _base(spark, d) -> dict[str, DataFrame]:
+    return {n: spark.sql(q, **{t: T.read(spark, d, t) for t in ("events", "orders", "part") if f"{{{t}}}" in q}) for n, q in _BASE.items()}
+
+
+_BASE_SQL = ", ".join(f"{n} as ({q.replace('{', '').replace('}', '')})" for n, q in _BASE.items())
+
+
+@query(f"with {_BASE_SQL} select (select count(*) from positions) as positions_count, (select count(*) from moves) as moves_count, (select count(*) from games) as games_count, (select count(distinct eco_code) from moves where eco_code <> '') as eco_codes_count")
+def game_stats(spark, d):
+    return games.stats(_base(spark, d))
+
+
+@query(f"with {_BASE_SQL} select code, name, count(m.id) as total_games, round(coalesce(avg(m.rating), 0), 6) as avg_rating, coalesce(sum(m.games_count), 0)::bigint as total_positions from eco_codes e left join moves m on m.eco_code = e.code group by code, name")
+def eco_stats(spark, d):
+    return games.eco_stats(_base(spark, d)).withColumn("avg_rating", F.round("avg_rating", 6))
+
+
 @query("""select event_type || ':' || user_id as name, count(*) as games_count, count(*) filter (value >= 66) as wins, count(*) filter (value >= 33 and value < 66) as draws, count(*) filter (value < 33) as losses, round(avg(value), 6) as rating,
 arg_min(event_type, (ts, event_id)) as annotation, strftime(min(ts), '%Y-%m-%d') as code from events group by event_type, user_id""")
 def stream_counters(spark, d):

@@ -29,6 +29,13 @@ def glob_pattern(glob: str) -> str:
     return "(?iu)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) + "$"
 
 
+def include_patterns(wanted: Iterable[str], known: Iterable[str] = tuple(f".{e[0]}" for e in EXTENSIONS)) -> list[str]:
+    """Include patterns of files: those of ``*.ext`` with a known extension, in lower case, once each and sorted; all known extensions, as they are, where none is left."""
+    low = {w.strip().lower() for w in wanted}
+    exts = {e.strip().lower() for e in known}
+    return sorted(p for p in low if p.removeprefix("*") in exts and p.removeprefix("*").startswith(".")) or list(known)
+
+
 def _matches(globs: Iterable[str]) -> Column:
     hit = F.lit(False)
     for g in globs:

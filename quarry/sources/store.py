@@ -25,6 +25,7 @@ from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import hadoop, removed, written
 
@@ -47,6 +48,11 @@ class Change(NamedTuple):
     rows: DataFrame | None = None
 
 
+def typed(rows: DataFrame, columns: str) -> DataFrame:
+    """Rows with the declared columns, in their order and types."""
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in StructType.fromDDL(columns)])
+
+
 class Store:
     """A store's versions.  ``tables`` and ``buckets`` count when it is made; later both are read from its manifest."""
 
@@ -135,7 +141,7 @@ class Store:
         manifest = self.manifest()
         tables = dict(manifest["tables"])
         for name, new in rows.items():
-            folder, made = self._put_rows(manifest, name, new.select(*self.spark.createDataFrame([], tables[name]["columns"]).columns))
+            folder, made = self._put_rows(manifest, name, typed(new, tables[name]["columns"]))
             live = tables[name]["live"]
             tables[name] = tables[name] | {"live": live | {b: [*live.get(b, []), folder] for b in made}}
         self._put(manifest | {"version": manifest["version"] + 1, "tables": tables})
@@ -150,16 +156,16 @@ class Store:
 
     def _rewritten(self, manifest: dict[str, Any], name: str, change: Change) -> tuple[dict[str, list[str]], int]:
         table = manifest["tables"][name]
-        key, columns = table["key"], self.spark.createDataFrame([], table["columns"]).columns
+        key = table["key"]
         if change.gone is None and change.rows is None:
             return table["live"], 0
-        rows = None if change.rows is None else written(change.rows.select(*columns), f"{name}-rows")
+        rows = None if change.rows is None else written(typed(change.rows, table["columns"]), f"{name}-rows")
         parts = [df.select(F.col(key).alias("__key")) for df in (change.gone, rows) if df is not None]
         keys = written((parts[0] if len(parts) == 1 else parts[0].union(parts[1])).distinct(), f"{name}-keys")
         touched = [r[0] for r in keys.select(self.bucket(name, manifest, F.col("__key"))).distinct().collect()]  # as many as there are buckets, at most
         if not touched:
             return table["live"], 0
-        left = self._read(manifest, name, touched).join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_anti").select(*columns)
+        left = self._read(manifest, name, touched).join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
         new = left if rows is None else left.unionByName(rows)
         folder, made = self._put_rows(manifest, name, new)
         return {b: f for b, f in table["live"].items() if int(b) not in set(touched)} | {b: [folder] for b in made}, len(touched)

@@ -153,3 +153,32 @@ def test_first_values_and_weighted_means(spark):
     new = spark.createDataFrame([("a", 2, 2.0, "z", "q"), ("a", 0, 9.0, "y", "p"), ("b", 3, 4.0, "n", None), (None, 1, 1.0, None, None)], "k string, n int, r double, note string, code string")
     got = {r.k: tuple(r)[1:] for r in accumulate(old, new, ["k"], ["n"], {"r": "n"}, ["note", "code"]).collect()}
     assert got == {"a": (4, 1.5, "y", "x"), "b": (4, 4.0, "o", "y"), None: (1, 1.0, None, None)}
+
+
+def test_games_by_id(spark, tmp_path):
+    from quarry.operators import games
+
+    kept = games.open_games(spark, str(tmp_path), 4)
+    made = games.save(kept, spark.createDataFrame([("Ann", "Bo"), ("Cy", "Di")], "white_player string, black_player string"))
+    ids = [r.id for r in made.collect()]
+    assert len(set(ids)) == 2 and {r.white_player for r in games.get(kept, made).collect()} == {"Ann", "Cy"}
+    one = spark.createDataFrame([(ids[0], "1-0", None), ("none", "0-1", True)], "id string, result string, processed boolean")
+    assert games.change(kept, one) == 1
+    row = games.get(kept, one).first()
+    assert (row.id, row.result, row.processed) == (ids[0], "1-0", False) and row.updated_at > row.created_at and kept.read("games").count() == 2
+    games.delete(kept, one)
+    assert [r.id for r in kept.read("games").collect()] == [ids[1]]
+
+
+def test_include_patterns():
+    from quarry.sources.files import include_patterns
+
+    assert include_patterns([" *.SQL", "*.sql", ".pas", "*.exe", "src/*", ""]) == ["*.sql", ".pas"]
+    assert include_patterns(["*.exe"], [".h", ".a"]) == [".h", ".a"]
+
+
+def test_ratio(spark):
+    from quarry.operators import huffman
+
+    df = spark.createDataFrame([(1, 3), (3, 3), (5, 0)], "a long, b long")
+    assert [r.x for r in df.select(huffman.ratio(F.col("a"), F.col("b")).alias("x")).collect()] == [33, 100, None]
