@@ -43,9 +43,10 @@ def get(store: Store, ids: DataFrame) -> DataFrame:
 
 def change(store: Store, changes: DataFrame) -> int:
     """Sets the non-null columns of (id, ...) in the games of those ids, one row an id; the number of games that changed.  Ids without a game change nothing."""
+    since = store.version()
     wanted = written(changes.select(F.col("id").cast("string").alias("id"), *[c for c in changes.columns if c in OWN]), "game-changes")
     rows = written(update(get(store, wanted), wanted, ["id"]).withColumn("updated_at", F.current_timestamp()), "games-changed")
-    store.commit({"games": Change(rows=rows)})
+    store.commit({"games": Change(rows=rows)}, since=since)
     return rows.count()
 
 

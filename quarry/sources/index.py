@@ -33,10 +33,11 @@ def open_index(spark: SparkSession, path: str, tables: Mapping[str, Table], buck
 def update(store: Store, files: DataFrame, extractors: Mapping[str, Extractor]) -> dict[str, int]:
     """Brings the index to ``files`` (file_id, text): the number of files added, updated, deleted and unchanged.  The first run adds all.
 
-    File ids are unique and not null; a null text counts as empty."""
+    File ids are unique and not null; a null text counts as empty.  Of two runs at once, one ends with ``Conflict`` and changes nothing."""
+    since = store.version()
     now = files.select("file_id", F.coalesce("text", F.lit("")).alias("text"))
     digests = now.select("file_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"))
-    status = written(snapshot_diff(store.read("files"), digests, "file_id", "digest"), "index-status")
+    status = written(snapshot_diff(store.read("files", since), digests, "file_id", "digest"), "index-status")
     counts = {"added": 0, "updated": 0, "deleted": 0, "unchanged": 0} | {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     if counts["added"] + counts["updated"] + counts["deleted"] == 0:
         return counts
@@ -44,7 +45,7 @@ def update(store: Store, files: DataFrame, extractors: Mapping[str, Extractor])
     fresh = status.where("status in ('added', 'updated')").select("file_id")
     changed = now.join(fresh, "file_id", "left_semi")
     changes = {"files": Change(gone, digests.join(fresh, "file_id", "left_semi"))}
-    store.commit(changes | {name: Change(gone, run(changed)) for name, run in extractors.items()})
+    store.commit(changes | {name: Change(gone, run(changed)) for name, run in extractors.items()}, since=since)
     return counts
 
 

@@ -122,11 +122,14 @@ class Store:
 
     # --- changing ---------------------------------------------------------------------------
 
-    def commit(self, changes: Mapping[str, Change], mark: tuple[str, int] | None = None) -> dict[str, int]:
+    def commit(self, changes: Mapping[str, Change], mark: tuple[str, int] | None = None, since: int | None = None) -> dict[str, int]:
         """Applies the changes of all tables as one new version; the number of buckets that each table had written.
 
-        ``mark`` is a stream and its batch: a batch that has been committed before changes nothing."""
+        ``mark`` is a stream and its batch: a batch that has been committed before changes nothing.  ``since`` is
+        the version that the changes were made from: if there is a newer one, nothing is changed either (``Conflict``)."""
         manifest = self.manifest()
+        if since is not None and manifest["version"] != since:
+            raise Conflict(f"made from version {since}, but {manifest['version']} is there")
         if mark and manifest["marks"].get(mark[0], -1) >= mark[1]:
             return {}
         live, counts = {}, {}
@@ -172,7 +175,8 @@ class Store:
 
     def upsert(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None, mark: tuple[str, int] | None = None) -> dict[str, int]:
         """Rows replace those of their keys; with ``merge``, what it makes of the old rows of those keys and the new rows does."""
-        return self.commit({name: self.merged(name, rows, merge)}, mark)
+        since = self.version() if merge else None
+        return self.commit({name: self.merged(name, rows, merge)}, mark, since)
 
     def merged(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Change:
         if merge is None:

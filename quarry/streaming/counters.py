@@ -49,13 +49,14 @@ def _taken(batch: DataFrame) -> DataFrame:
 
 def take(store: Store, batch: DataFrame, number: int, stream: str, name: Column) -> dict[str, int]:
     """One micro-batch of events with ``__file``, the file of each row."""
+    since = store.version()
     if store.mark(stream) >= number:
         return {}
     files = _taken(batch)
     fresh = files.join(store.read("taken").select("digest"), "digest", "left_anti")
     once = fresh.groupBy("digest").agg(F.min("__file").alias("__file"), F.first("rows").alias("rows"))  # the same content twice in a batch counts once
     events = batch.join(once.select("__file"), "__file", "left_semi")
-    return store.commit({"counters": store.merged("counters", batch_counts(events, name), merge), "taken": Change(rows=once.select("digest", "rows"))}, (stream, number))
+    return store.commit({"counters": store.merged("counters", batch_counts(events, name), merge), "taken": Change(rows=once.select("digest", "rows"))}, (stream, number), since)
 
 
 def follow(spark: SparkSession, folder: str, schema, store: Store, checkpoint: str, name: Column, stream: str = "events", glob: str = "*.parquet", files_a_batch: int = 1000) -> StreamingQuery:

@@ -61,6 +61,8 @@ def test_a_commit_that_dies_or_loses_leaves_the_version_before(spark, tmp_path,
     s.upsert("things", things(spark, [(1, "c")]))
     with pytest.raises(Conflict):
         s._put(stale | {"version": stale["version"] + 1})
+    with pytest.raises(Conflict):  # changes made from a version that is no longer the newest
+        s.commit({"things": Change(rows=things(spark, [(1, "d")]))}, since=stale["version"])
     assert held(s) == [(1, "c")] and not [f for f in os.listdir(tmp_path / "manifests") if f.startswith(".") and not f.endswith(".crc")]
     assert s.vacuum() >= 1 and held(s) == [(1, "c")]
 
