@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .words import Words
+from .words import Words, included
 
 HEADER = "struct<kind:string,name:string,value:string,define_type:string,line_number:int>"
 SCRIPT = "struct<kind:string,name:string,object:string,value:string,scenario_type:string,line_start:int,line_end:int>"
@@ -55,7 +55,6 @@ def extract_by_path(df: DataFrame, path_col: str, text_col: str, parse: Callable
 
 # The forms of a directive.
 _NAME = r"^#define\s+([A-Za-z_]\w*)"
-_INCLUDE = re.compile(r'^#include\s*[<"]([^>"]+)[>"]', re.A)
 _CALL = re.compile(_NAME + r"\s*\([^)]*\)(?:\s+(.+))?$", re.A | re.S)
 _PLAIN = re.compile(_NAME + r"(?:\s+(.*))?$", re.A | re.S)
 _NUMBER = re.compile(r"(?:(\d+)|([+-]?\d+)\s*(?:/\*.*\*/|--.*))$", re.A | re.S)
@@ -77,8 +76,8 @@ def header_rows(text: str) -> list[dict]:
         line = line.strip()
         if line.startswith(("--", "/*", "*")):
             continue
-        if m := _INCLUDE.match(line):
-            rows.append(dict(kind="include", name=m[1], value=None, define_type=None, line_number=number))
+        if line.startswith("#include") and (files := included(line)):
+            rows.append(dict(kind="include", name=files[0], value=None, define_type=None, line_number=number))
         elif m := _CALL.match(line):
             rows.append(dict(kind="define", name=m[1], value=(m[2] or "").strip(), define_type="macro", line_number=number))
         elif m := _PLAIN.match(line):

@@ -10,12 +10,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .extract import extract
 from .lookup import latest
+from .words import END, Word, Words, first_name, included
 
 SQL = (
     "struct<kind:string,name:string,owner:string,context:string,value:string,position:int,is_temporary:boolean,source_table:string,source_column:string,"
@@ -25,26 +27,13 @@ SQL = (
 # Names, markers of procedures, statements and macros, and what is no name.
 _ID, _WORD = r"[A-Za-z_#][A-Za-z0-9_#]*", r"[A-Za-z_][A-Za-z0-9_]*"
 _HIDDEN = re.compile(r"'(?:[^'\n]|'')*'|\"[^\"\n]*\"|--[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
-_MARKED = re.compile(rf"__BEGIN_PROCEDURE__\s*\(\s*({_WORD})", re.I)
-_OPENED = re.compile(rf"(?:DCL_PROC_BEGIN\s*\(?\s*|\bcreate\s+proc(?:edure)?\s+)({_WORD})", re.I)
-_CLOSED = re.compile(rf"(?:__END_PROCEDURE__|X_ANYMODE)\s*\(\s*({_WORD})\s*\)", re.I)
-_PARAM = re.compile(r"@([A-Za-z_][A-Za-z0-9_]*)\s+(DS[A-Za-z0-9_]*)")
-_INCLUDE = re.compile(r'#include\s*[<"]([^>"]+)[>"]', re.I)
-_DEFINE = re.compile(rf"#define\s+({_WORD})\s+(.*)", re.I)
-_LEAD = re.compile(r"\s*(select|insert|update|delete)\b", re.I)
-_EXEC = re.compile(rf"\bexec(?:ute)?\s+(?:@\w+\s*=\s*)?(?:\[?{_WORD}\]?\.)?\[?({_WORD})\]?", re.I)
-_TABLE_AT = [
-    ("create", re.compile(rf"\bcreate\s+table\s+({_ID})", re.I)),
-    ("select", re.compile(rf"\bselect\b.*\binto\s+({_ID})", re.I)),
-    ("insert", re.compile(rf"^\s*insert\s+(?:into\s+)?({_ID})", re.I)),
-    ("delete", re.compile(rf"^\s*delete\s+({_ID})", re.I)),
-    ("delete", re.compile(rf"\bM_DELETE_PTABLE(?:_INDEX)?\s*\(\s*({_ID})\s*(?:,\s*{_ID}\s*)?\)", re.I)),
-    ("log", re.compile(rf"\bM_LOG_TABLE\s*\(\s*({_ID})\s*\)", re.I)),
-    ("temp", re.compile(rf"\bSELECT_TEMP\s*\(\s*({_ID})\s*\)", re.I)),
-]
-_NAMED = re.compile(rf"\b(?:FROM|JOIN|INTO|UPDATE)\s+({_ID})", re.I)
-_LIST_GOES_ON = re.compile(rf"\s*,?\s*({_ID})\b(?!\s*[.(=])")
-_TEMPORARY = re.compile(r"\bpAPI_[A-Za-z_]\w*|(?<![\w#])#[A-Za-z_]\w*", re.I | re.A)
+BEGINS, OPENS, CLOSES = "__begin_procedure__", "dcl_proc_begin", ("__end_procedure__", "x_anymode")
+PARAMETER_TYPES = "DS"
+LEADS = ("select", "insert", "update", "delete")
+NAMED_AFTER = ("from", "join", "into", "update")
+#: Macros whose first argument is a table, and how they use it.
+TABLE_MACROS = {"m_delete_ptable": "delete", "m_delete_ptable_index": "delete", "m_log_table": "log", "select_temp": "temp"}
+TEMPORARY_PREFIX = "papi_"
 _ALIAS = re.compile(rf"\b(?:FROM|JOIN|UPDATE)\s+({_ID})(?:\s+(?:AS\s+)?({_WORD}))?|,\s*({_ID})\s+({_WORD})\s*(?=[,\n]|$)", re.I)
 _QUALIFIED = re.compile(rf"\b({_WORD})\.({_WORD})")
 _INSERT_LIST = re.compile(rf"^\s*insert\s+(?:into\s+)?({_ID})\s*\(([^()]*)\)", re.I)
@@ -65,6 +54,90 @@ RELATIONS = {"select": "selects_from", "insert": "inserts_into", "update": "upda
 OTHER_RELATION = "references_table"
 
 
+def _table(word: Word) -> bool:
+    """Whether a word can name a table: a name, after marks of a temporary one."""
+    return first_name(word.text.lstrip("#")) != "" and word.text[0] != "@"
+
+
+def _low(words: Words, i: int) -> str:
+    return words.look(i).text.lower()
+
+
+def _marked(words: Words) -> str | None:
+    """The procedure that a marker on the line begins."""
+    return next((words[i + 2].text for i in range(len(words)) if _low(words, i) == BEGINS and words.reads(i + 1, "(") and words.look(i + 2).name), None)
+
+
+def _opened(words: Words) -> str | None:
+    """The procedure that a declaration on the line opens."""
+    for i in range(len(words)):
+        made = _low(words, i) == "create" and _low(words, i + 1) in ("proc", "procedure")
+        if made or _low(words, i) == OPENS:
+            at = i + 2 if made or words.reads(i + 1, "(") else i + 1
+            if words.look(at).name:
+                return words[at].text
+    return None
+
+
+def _closed(words: Words) -> bool:
+    return any(_low(words, i) in CLOSES and words.reads(i + 1, "(") and words.look(i + 2).name and words.reads(i + 3, ")") for i in range(len(words)))
+
+
+def _parameters(words: Words) -> Iterator[tuple[str, str]]:
+    for word, kind in zip(words, words[1:]):
+        if word.text[0] == "@" and first_name(word.text[1:]) and kind.text.startswith(PARAMETER_TYPES):
+            yield word.text[1:], kind.text
+
+
+def _called(words: Words) -> str | None:
+    """The procedure that the line executes: after a result it is given to, an owner and in square brackets, where they stand."""
+    for i in range(len(words)):
+        if _low(words, i) in ("exec", "execute"):
+            rest = [w for w in words[i + 1 :] if w.text not in "[]"]
+            if rest[1:2] and rest[0].text[0] == "@" and rest[1].text == "=":
+                del rest[:2]
+            if rest[2:3] and rest[0].name and rest[1].text == ".":
+                del rest[:2]
+            if rest and rest[0].name:
+                return rest[0].text
+    return None
+
+
+def _used(words: Words) -> Iterator[tuple[str, Word]]:
+    """(use, table) of statements and macros: the first of each kind on the line."""
+    n = range(len(words))
+    create = (words[i + 2] for i in n if _low(words, i) == "create" and _low(words, i + 1) == "table" and _table(words.look(i + 2)))
+    select = next((i for i in n if _low(words, i) == "select"), len(words))
+    into = [words[i + 1] for i in n if i > select and _low(words, i) == "into" and _table(words.look(i + 1))]
+    at = 2 if _low(words, 1) == "into" else 1
+    first = {"insert": words.look(at), "delete": words.look(1)}.get(_low(words, 0), END)
+    macros: dict[str, tuple[str, Word]] = {}
+    for i in n:
+        if _low(words, i) in TABLE_MACROS and words.reads(i + 1, "(") and _table(words.look(i + 2)):
+            macros.setdefault(_low(words, i), (TABLE_MACROS[_low(words, i)], words[i + 2]))
+    yield from (("create", w) for w in [next(create, END)] if w is not END)
+    yield from (("select", w) for w in into[-1:])
+    yield from ((_low(words, 0), w) for w in [first] if _table(w))
+    yield from macros.values()
+
+
+def _named(words: Words) -> list[Word]:
+    return [words[i + 1] for i in range(len(words)) if _low(words, i) in NAMED_AFTER and _table(words.look(i + 1))]
+
+
+def _goes_on(words: Words) -> Word | None:
+    """The table with which a list goes on from the line before."""
+    i = int(words.reads(0, ","))
+    return words[i] if _table(words.look(i)) and words.look(i + 1).text not in (".", "(", "=") else None
+
+
+def _list_open(words: Words) -> bool:
+    """Whether the line ends in a list of tables: the last one, its alias and a comma, or less."""
+    last = next((i for i in reversed(range(len(words))) if _low(words, i) == "from"), None)
+    rest = [w for w in words[last + 1 :]] if last is not None else []
+    return bool(rest) and _table(rest[0]) and [w.text for w in rest[1:]] in ([], [","], *([w.text for w in rest[1:2]] + tail for tail in ([], [","]) if rest[1:2] and _table(rest[1])))
+
+
 def masked(text: str) -> str:
     """The text with blanks for strings and comments, at the same positions."""
     return _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
@@ -220,19 +293,22 @@ def sql_rows(text: str) -> list[dict]:
     for number, (line, shown) in enumerate(zip(lines, bare), 1):
         mark = line.strip()
         low = shown.strip().lower()
-        if m := _INCLUDE.search(line):
+        words = Words(shown)
+        directive = mark.split(None, 2)
+        closes, begins = _closed(words), _marked(words) or _opened(words)
+        if files := included(line):
             flush(number - 1)
-            row("include", m[1].strip(), number)
-        elif m := _DEFINE.search(line):
+            row("include", files[0].strip(), number)
+        elif directive[:1] and directive[0].lower() == "#define" and len(directive) > 2 and first_name(directive[1]) == directive[1]:
             flush(number - 1)
-            row("define", m[1], number, value=m[2].strip())
-        elif m := _CLOSED.search(shown):
+            row("define", directive[1], number, value=directive[2].strip())
+        elif closes:
             flush(number - 1)
             end_procedure(number)
-        elif (m := _MARKED.search(shown)) or (m := _OPENED.search(shown)):
+        elif begins:
             if not procedure:
                 flush(number - 1)
-                procedure = dict(name=m[1], start=number, signature=_MARKED.search(shown) is None, params=set())
+                procedure = dict(name=begins, start=number, signature=_marked(words) is None, params=set())
         elif low == "go":
             flush(number - 1)
         elif not mark:
@@ -240,17 +316,16 @@ def sql_rows(text: str) -> list[dict]:
                 flush(number - 1)
         owner_at.append(procedure["name"] if procedure else "")
         if procedure and procedure["signature"]:
-            for m in _PARAM.finditer(shown):
-                if m[1].lower() not in procedure["params"]:
-                    procedure["params"].add(m[1].lower())
-                    row("param", m[1], number, owner=procedure["name"], value=m[2], context="out" if re.search(r"\boutput\b", low) else "in", position=len(procedure["params"]))
+            for name, kind in _parameters(words):
+                if name.lower() not in procedure["params"]:
+                    procedure["params"].add(name.lower())
+                    row("param", name, number, owner=procedure["name"], value=kind, context="out" if re.search(r"\boutput\b", low) else "in", position=len(procedure["params"]))
             if re.search(r"(?:^|\s)(?:as|begin)$", low):
                 procedure["signature"] = False
             continue
-        if not low or low in ("go", "begin", "end", "as") or re.match(r"#(?:include|define)\b", low) or _CLOSED.search(shown) or _MARKED.search(shown) or _OPENED.search(shown):
+        if not low or low in ("go", "begin", "end", "as") or _low(words, 0) in ("#include", "#define") or closes or begins:
             continue
-        if m := _LEAD.match(shown):
-            lead = m[1].lower()
+        if (lead := _low(words, 0)) in LEADS:
             context = context if lead == "select" and context == "insert" else lead
             in_list = False
         if not statement:
@@ -258,26 +333,25 @@ def sql_rows(text: str) -> list[dict]:
         statement.append(line)
 
         here: set[str] = set()
-        for how, form in _TABLE_AT:
-            if m := form.search(shown):
-                mention(m[1], "select" if how == "temp" else how, number, m.start(1), how not in ("create", "temp"))
-                here.add(m[1].lower())
-        found = list(_NAMED.finditer(shown))
-        for m in found:
-            if context and m[1].lower() not in here:
-                here.add(m[1].lower())
-                mention(m[1], "select" if context == "insert" and not re.search(r"\binsert\s+into\b", low) else context, number, m.start(1))
+        for how, word in _used(words):
+            mention(word.text, "select" if how == "temp" else how, number, word.at, how not in ("create", "temp"))
+            here.add(word.text.lower())
+        found = _named(words)
+        for word in found:
+            if context and word.text.lower() not in here:
+                here.add(word.text.lower())
+                mention(word.text, "select" if context == "insert" and not re.search(r"\binsert\s+into\b", low) else context, number, word.at)
         if found:
-            in_list = bool(re.search(rf"\bfrom\s+{_ID}(?:\s+\w+)?\s*,?\s*$", low))
-        elif in_list and (m := _LIST_GOES_ON.match(shown)) and m[1].lower() not in NO_NAME:
-            here.add(m[1].lower())
-            mention(m[1], "select" if context == "insert" else context or "unknown", number, m.start(1), once=False)
+            in_list = _list_open(words)
+        elif in_list and (word := _goes_on(words)) and word.text.lower() not in NO_NAME:
+            here.add(word.text.lower())
+            mention(word.text, "select" if context == "insert" else context or "unknown", number, word.at, once=False)
         else:
             in_list = False
-        for m in _TEMPORARY.finditer(shown):
-            if m[0].lower() not in here:
-                here.add(m[0].lower())
-                mention(m[0], context or "unknown", number, m.start())
+        for word in words:
+            if (word.text[0] == "#" and _table(word) or word.text.lower().startswith(TEMPORARY_PREFIX)) and word.text.lower() not in here:
+                here.add(word.text.lower())
+                mention(word.text, context or "unknown", number, word.at)
 
         if m := _INSERT_LIST.match(shown):
             for name in (p.strip() for p in m[2].split(",")):
@@ -287,8 +361,8 @@ def sql_rows(text: str) -> list[dict]:
             for _, part in _pieces(m[2], m[2], 0, len(m[2])):
                 if n := re.match(rf"\s*({_WORD})\s*=", part):
                     row("column", n[1], number, owner=m[1], context="update")
-        if m := _EXEC.search(shown):
-            row("call", m[1], number, owner=owner_at[-1])
+        if called := _called(words):
+            row("call", called, number, owner=owner_at[-1])
         if low.endswith(";"):
             flush(number)
     flush(len(lines))

@@ -77,3 +77,22 @@ def quoted(line: str) -> tuple[list[str], str]:
         rest.append(line[at:start])
         at = end + 1
     return found, "".join([*rest, line[at:]])
+
+
+def first_name(text: str) -> str:
+    """The name that a text begins with, after white space; empty if it begins with none."""
+    text = text.lstrip()
+    end = next((i for i, c in enumerate(text) if not (c.isascii() and (c.isalnum() or c == "_"))), len(text))
+    return text[:end] if end and not text[0].isdigit() else ""
+
+
+def included(line: str) -> list[str]:
+    """The files that a line includes: what stands between quotes or pointed brackets after the directive, in any case."""
+    out, low, at = [], line.lower(), 0
+    while (at := low.find("#include", at)) >= 0:
+        at += len("#include")
+        rest = line[at:].lstrip()
+        ends = [i for i in (rest.find(">", 1), rest.find('"', 1)) if i > 1]
+        if rest[:1] in ("<", '"') and ends:
+            out.append(rest[1 : min(ends)])
+    return out
