@@ -6,7 +6,7 @@ import json
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMAT_VERSION = "1.0"
@@ -50,6 +50,11 @@ def failure(error: Exception, command: str) -> dict:
     return {"success": False, "format_version": FORMAT_VERSION, "command": command, "error": {"code": error_code(error), "message": str(error)}}
 
 
+def stamp(moment: Column | str) -> Column:
+    """A time as text with its offset, in the session's zone: 2024-01-31T10:00:00Z."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def ndjson(df: DataFrame, path: str) -> None:
     """One JSON object a line, written by the executors."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)

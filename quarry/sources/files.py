@@ -67,6 +67,11 @@ def scan(spark: SparkSession, root: str, include: Iterable[str] = (), exclude: I
     )
 
 
+def whole_texts(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of UTF-8 files, each whole in one row."""
+    return spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def pgn_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the game files below ``root``, whatever the case of the extension."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][gG][nN]").load(root).select("path", "content")

@@ -96,3 +96,14 @@ def test_limits_may_be_left_out(spark):
 
     c = Catalog(spark, {"games": spark.range(300).selectExpr("cast(id as string) as id", "'w' as white_player")})
     assert named.games(c, white="w").count() == 100 and named.games(c, white="w", limit=None).count() == named.games(c, white="w", limit=0).count() == 300
+
+
+def test_stamps_and_whole_texts(spark, tmp_path):
+    from quarry.operators import envelope
+    from quarry.sources.files import whole_texts
+
+    df = spark.sql("select timestamp '2024-01-31 10:00:00' as t union all select null")
+    assert {r.x for r in df.select(envelope.stamp("t").alias("x")).collect()} == {"2024-01-31T10:00:00Z", None}
+    (tmp_path / "a.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "b.txt").write_text("é")
+    assert {r.path.rpartition("/")[2]: r.text for r in whole_texts(spark, str(tmp_path)).collect()} == {"a.txt": "one\n\ntwo\n", "b.txt": "é"}
