@@ -19,12 +19,15 @@ No bucket is expanded into its pairs and none is capped:
 1. Texts of the same words are one node from the start.
 2. In each bucket (equal sketch) every member meets the bucket's first and last
    node, so buckets of up to three give all their pairs and larger ones two
-   stars.  Near copies within a passage that thousands share meet in the buckets
-   whose sketch has a k-mer outside it.  The search is by chance, not by size:
-   what a text's functions sample does not depend on how full a bucket is.
+   stars.
 3. Pairs whose lengths differ too much go.  Each node is aligned with its first
    partner; of the other pairs those already joined through such a link go too,
    and the rest is aligned.
+4. A larger bucket whose members are not all joined by then has its other pairs
+   searched exactly: texts that align within the threshold have a word in common
+   among the rarest of each, so the members meet by bucket and rare word
+   (``_crowd_pairs``), and what is not joined yet is aligned.  No pair of a
+   bucket that aligns is lost, however full the bucket is.
 
 Only small rows (key, node) and (node, node) are shuffled by key, and the hashed
 words of nodes that have a partner.  A node is a number given once, in a written
@@ -324,17 +327,57 @@ def _near_lengths(threshold: float) -> Column:
     return F.abs(rough("u") - rough("v")) <= math.ceil(STEPS * math.log2(1 / threshold)) + 1
 
 
-def _pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, node, low, high, members): the nodes of every bucket of two or more, with its first and its last one."""
+    rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    stars = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    return rows.join(stars, "key").select("key", "node", "low", "high", "members")
+
+
+def _pairs(met: DataFrame, threshold: float) -> DataFrame:
     """(u, v), u < v: every member of a bucket with its first and its last node, where their lengths allow the threshold."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    stars = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     ends = F.array(F.struct(F.col("low").alias("u"), F.col("node").alias("v")), F.struct(F.col("node").alias("u"), F.col("high").alias("v")))
-    return rows.join(stars, "key").select(F.inline(ends)).where("u < v").where(_near_lengths(threshold)).distinct()
+    return met.select(F.inline(ends)).where("u < v").where(_near_lengths(threshold)).distinct()
+
 
+def _labelled_words(texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, rarest, word): every word of a text, told apart by its occurrence, and how many of the rarest decide.
 
-def _words_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, words): the word hashes, 8 bytes each, of every node that has a partner, from its first row."""
-    met = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    Two texts within the threshold have all but ``most`` words of the longer in common, counted; so in any one order
+    of the words they have one in common among the first ``most`` + 1 of each, ``most`` by its own length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, column in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = np.frombuffer(column.as_buffer(), np.uint64)
+                with np.errstate(over="ignore"):
+                    found = _labels(_mix(h), np.zeros(len(h), np.uint64)).view(np.int64)
+                rarest = int((1 - threshold) * len(h) + 1e-9) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), rarest, np.int32)), pa.array(found)], ["node", "rarest", "word"])
+
+    return texts.select("node", "words").transform(in_arrow, run, "node long, rarest int, word long")
+
+
+def _crowd_pairs(crowd: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(u, v), u < v: the pairs of each bucket of ``crowd`` (key, node) that no link joins so far and that may align.
+
+    Exact: only pairs without a common word among the rarest of each are left out, and those can't align."""
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(*by)
+    named = cut(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd-labels")
+    members = cut(named.join(several(named, "key"), "key"), "crowd")
+    found = cut(_labelled_words(texts.join(members.select("node").distinct(), "node", "left_semi"), threshold), "crowd-words")
+    seen = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "word"))
+    rare = found.join(seen, "word").withColumn("place", place).where("place <= rarest and n > 1").select("node", "word")
+    rows = cut(members.join(rare, "node"), "crowd-rare")
+    rows = cut(rows.join(several(rows, "key", "word"), ["key", "word"]), "crowd-meetings")
+    ends = [rows.select("key", "word", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in "uv"]
+    both = ends[0].join(ends[1], ["key", "word"]).where("u < v and u_label != v_label")
+    return both.where(_near_lengths(threshold)).select("u", "v").distinct()
+
+
+def _words_of(docs: DataFrame, nodes: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, words): the word hashes, 8 bytes each, of every node of ``met``, from its first row."""
     wanted = nodes.join(met, "node", "left_semi").select("node", "digest", F.col("first.id").alias("i")).hint("shuffle_hash")
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
@@ -369,16 +412,22 @@ def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(u, v) links whose components are those of all pairs that align."""
-    pairs = cut(_pairs(nodes, threshold), "pairs")
-    texts = cut(_words_of(docs, nodes, pairs, id_col, text_col), "words")
+    """(u, v) links whose components are those of all pairs of a bucket that align."""
+    met = cut(_met(nodes), "met")
+    pairs = cut(_pairs(met, threshold), "pairs")
+    crowd = met.where("members > 3").select("key", "node")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(crowd.select("node")).distinct()
+    texts = cut(_words_of(docs, nodes, wanted, id_col, text_col), "words")
     first = cut(_aligned(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, threshold), "first-partners")
     # v and its first partner are joined if they aligned; a pair whose ends lead to one node needs no alignment
     heads = first.select("v", F.col("u").alias("tried"), F.when(F.col("good"), F.col("u")).otherwise(F.col("v")).alias("v_head"))
     leads = first.where("good").select(F.col("v").alias("u"), F.col("u").alias("u_head"))
     rest = pairs.join(heads, "v").where("u != tried").join(leads, "u", "left").where("coalesce(u_head, u) != v_head").select("u", "v")
     more = cut(_aligned(rest, texts, threshold), "other-partners")
-    return first.union(more).where("good").select("u", "v")
+    found = first.union(more).where("good").select("u", "v")
+    left = _crowd_pairs(crowd, texts, components(found), threshold).join(pairs, ["u", "v"], "left_anti")
+    last = cut(_aligned(left, texts, threshold), "crowd-partners")
+    return found.union(last.where("good").select("u", "v"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 import corpus_pipeline
 from quarry.llm import bpe, exact_dedup, fingerprints, html_pages, html_text, licenses, mixing, near_dedup, queries, suffix_dedup, token_counts, toxicity
@@ -440,6 +441,23 @@ def test_near_dedup_copies_within_a_passage(spark):
     assert [got[i] for i in range(len(texts))] == classes_by_force(texts)
 
 
+def test_near_dedup_links_all_pairs_of_a_bucket(spark):
+    """All texts in one bucket: near copies that are neither its first nor its last node are linked too."""
+    r = random.Random(10)
+    words = [f"w{i}" for i in range(50)]  # no word is rare for itself
+    bases = [[r.choice(words) for _ in range(n)] for n in (5, 12, 40, 41, 42, 90) * 4]
+    texts = [" ".join(x) for b in bases for x in (b, edited(r, b, len(b) // 5, words))]
+    r.shuffle(texts)
+    hashes = [near_dedup.word_hashes(t) for t in texts]
+    nodes = near_dedup._numbered(docs_of(spark, texts).selectExpr("struct(false as z, doc_id as id) as first", "text", "size(split(text, ' ')) as n", "array(7L) as keys"))
+    digests = spark.createDataFrame([(t, xxhash.xxh3_128_digest(h.tobytes())) for t, h in zip(texts, hashes)], "text string, digest binary")
+    nodes = near_dedup.cut(nodes, "nodes").join(digests, "text")
+    label = {x.node: x.label for x in near_dedup.components(near_dedup.links(nodes, docs_of(spark, texts), "doc_id", "text", near_dedup.SIMILARITY)).collect()}
+    at = {x.first.id: label.get(x.node, x.node) for x in nodes.collect()}
+    want = classes_by_force(texts)
+    assert len({(at[i], want[i]) for i in range(len(texts))}) == len(set(at.values())) == len(set(want)) <= len(bases)
+
+
 def test_near_dedup_odd(spark):
     assert near_dedup.classes(docs_of(spark, ODD).limit(0)).count() == 0
     out = near_dedup.keep_one(docs_of(spark, ODD))
