@@ -590,7 +590,7 @@ subs as (select m, unnest(list_transform(range(1, n + 1), lambda i: substr(c, i,
 def benchmark_word_counts(spark, d):
     """How often documents have each word of the benchmark, overlapping places and places inside other words too."""
     words = T.read(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("pattern")).where("pattern != ''").distinct()
-    found = anchors.hits(T.read(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), words, "doc_id", "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    found = anchors.counts(T.read(spark, d, "documents").select(F.lower("text").alias("text")), words, "pattern")
     return words.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -1,6 +1,7 @@
 """Anchored substring search, the trigram index, continuation search and error tables: brute force on small tables, hot keys, and the plans."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,28 @@ def test_hits_brute_force(spark, monkeypatch, broadcast):
     assert anchors.hits(t, p.limit(0), "id", "pattern").collect() == []
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_counts_and_small_blocks(spark, monkeypatch, broadcast):
+    """A pattern's places by blocks smaller than it, many patterns with one anchor; a task hands on one row a pattern."""
+    rng = random.Random(5)
+    for name, value in (("MOST_BROADCAST", broadcast), ("TEXTS", 50), ("BLOCK", 7), ("PLACES", 3)):
+        monkeypatch.setattr(anchors, name, value)
+    texts = [(i, "".join(rng.choice("ab𝒳") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(70, None), (71, "a" * 90), (71, "a" * 90)]
+    patterns = ["a", "ab", "aab", "aaaa", "aaaaa", "aaaaaa", "a" * 40, "b𝒳", "c", "", None]
+    t, p = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    want = places(texts, patterns)
+    assert sorted((str(r.id), r.pattern, r.at) for r in anchors.hits(t, p, "id", "pattern").collect()) == want
+    assert {r.pattern: r.n for r in anchors.counts(t, p, "pattern").collect()} == Counter(x[1] for x in want)
+    assert anchors.counts(t, p.where("pattern = 'c'"), "pattern").collect() == anchors.counts(t, p.limit(0), "pattern").collect() == []
+    codes = [anchors._points(x.encode()) for x in patterns if x]
+    finder = anchors._Finder(anchors._table([x for x in patterns if x], codes, anchors._all_grams(codes)))  # here the small sizes count
+    for text in {x for _, x in texts if x}:
+        assert {(patterns[k], a) for at, found in finder.hits(anchors._points(text.encode())) for a, k in zip(at.tolist(), found.tolist())} == {x[1:] for x in places([(0, text)], patterns)}
+    if broadcast:
+        plan = anchors.hits(t, p, "id", "pattern")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan  # no row a place of the texts
+
+
 def test_containment_has_no_nested_loop(spark):
     texts = [(i, f"Text {i} has THE end{'.' if i % 2 else ''} here") for i in range(40)] + [(50, None)]
     passages = [(1, "the end."), (2, "THE"), (3, "text 7 has the end. here"), (4, ""), (5, None), (6, "The"), (7, "not there at all")]
