@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import envelope, extract
+from quarry.operators import envelope, extract, sqltext
 from quarry.sources import files
 from quarry.streaming import incremental
 
@@ -121,3 +121,11 @@ def test_incremental(spark, tmp_path):
     assert run() == ["A"] == run()
     (tmp_path / "in" / "b.h").write_text("#define B 1\n")
     assert run() == ["A", "B"]
+
+
+def test_rows_of_one_task_are_dealt_out(spark):
+    df = spark.range(400).coalesce(1).select("id", F.lit("exec Log1").alias("text"))
+    found = sqltext.scripts(df).where("kind = 'call'").select("id", F.spark_partition_id().alias("task"))
+    assert found.select("id").distinct().count() == 400 and found.select("task").distinct().count() > 3
+    many = df.repartition(40)
+    assert extract.dealt(many) is many
