@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lookup import accumulate
+from ..sources.shared import written
 from ..sources.store import Change, Store, Table
 
+#: Rows of a batch that one task sums up, about: tasks grow in number with the batch, not in size.
+ROWS = 500_000
 ADDED = ["games_count", "wins", "draws", "losses"]
 TABLES = {
     "counters": Table("name string, games_count long, wins long, draws long, losses long, rating double, annotation string, code string, since timestamp", "name"),
@@ -24,10 +27,15 @@ TABLES = {
 }
 
 
-def batch_counts(events: DataFrame, name: Column) -> DataFrame:
-    """A batch's counters by name: events with their value as won (66 and over), drawn (33 and over) or lost, its mean as rating, the earliest event's kind and day."""
+def batch_counts(events: DataFrame, name: Column, tasks: int | None = None) -> DataFrame:
+    """A batch's counters by name: events with their value as won (66 and over), drawn (33 and over) or lost, its mean as rating, the earliest event's kind and day.
+
+    Which event came first is settled by sorting a task's rows; with ``tasks`` they are dealt by name over so many (where these are
+    more than the session's) first."""
     v = F.col("value")
     rows = events.select(name.alias("name"), v.alias("v"), "ts", F.struct("ts", "event_id").alias("place"), "event_type")
+    if tasks and tasks > int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "name")
     hit = lambda c: F.count_if(c).alias
     return rows.groupBy("name").agg(
         F.count(F.lit(1)).alias("games_count"), hit(F.col("v") >= 66)("wins"), hit((F.col("v") >= 33) & (F.col("v") < 66))("draws"), hit(F.col("v") < 33)("losses"), F.avg("v").alias("rating"),
@@ -55,8 +63,10 @@ def take(store: Store, batch: DataFrame, number: int, stream: str, name: Column)
     files = _taken(batch)
     fresh = files.join(store.read("taken").select("digest"), "digest", "left_anti")
     once = fresh.groupBy("digest").agg(F.min("__file").alias("__file"), F.first("rows").alias("rows"))  # the same content twice in a batch counts once
+    once = written(once, "taken-files")
+    tasks = -(-once.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] // ROWS)
     events = batch.join(once.select("__file"), "__file", "left_semi")
-    return store.commit({"counters": store.merged("counters", batch_counts(events, name), merge), "taken": Change(rows=once.select("digest", "rows"))}, (stream, number), since)
+    return store.commit({"counters": store.merged("counters", batch_counts(events, name, tasks), merge), "taken": Change(rows=once.select("digest", "rows"))}, (stream, number), since)
 
 
 def follow(spark: SparkSession, folder: str, schema, store: Store, checkpoint: str, name: Column, stream: str = "events", glob: str = "*.parquet", files_a_batch: int = 1000) -> StreamingQuery:
