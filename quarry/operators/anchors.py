@@ -161,7 +161,7 @@ class _Finder:
                         begin, found = begin[~whole], found[~whole]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, code points end to end, where each text begins) of about ``TEXTS`` code points at a time; the text is the last column."""
     for batch in batches:
         codes, size, first = [], 0, 0
@@ -185,7 +185,7 @@ def _anchored(texts: DataFrame, patterns: list[str]) -> _Table | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _Finder(shared.value)
         n = {q: np.zeros(len(g[0]), np.int64) for q, g in shared.value.grams.items()}
-        for _, points, _ in _groups(batches):
+        for _, points, _ in groups(batches):
             for q, _, number in finder.grams(points):
                 n[q] += np.bincount(number, minlength=len(n[q]))
         for q, x in n.items():
@@ -240,7 +240,7 @@ def hits(texts: DataFrame, patterns: DataFrame, id_col: str, pattern_col: str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, names = _Finder(shared.value), pa.array(shared.value.patterns, pa.string())
-        for some, points, begin in _groups(batches):
+        for some, points, begin in groups(batches):
             for at, found in finder.hits(points):
                 row = np.searchsorted(begin, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), names.take(pa.array(found)), pa.array(at - begin[row])], ["id", "pattern", "at"])
@@ -261,7 +261,7 @@ def counts(texts: DataFrame, patterns: DataFrame, pattern_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, n = _Finder(shared.value), np.zeros(len(shared.value.patterns), np.int64)
-        for _, points, _ in _groups(batches):
+        for _, points, _ in groups(batches):
             for _, found in finder.hits(points):
                 n += np.bincount(found, minlength=len(n))
         used = np.flatnonzero(n)

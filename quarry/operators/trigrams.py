@@ -3,7 +3,7 @@
 Two tables of a ``Store``: the texts by id, and for each trigram of the texts in
 lower case sorted lists of ids, cut into parts so that a trigram which every text
 has is many short rows.  A batch of texts is appended to both without reading
-what is there.  A search reads the lists of the pattern's trigrams, begins with
+what is there; tasks gather the lists of their own texts before the shuffle.  A search reads the lists of the pattern's trigrams, begins with
 the shortest, and compares only the texts that are in all it takes; of those it
 reads the buckets that hold any.
 """
@@ -12,12 +12,16 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from ..sources.store import Store, Table
-from .anchors import grams
+from .anchors import groups
 
 #: Ids of a list's part, about; and the lists that a search intersects.
 PART, LISTS = 50_000, 3
@@ -27,12 +31,37 @@ def open_index(spark: SparkSession, path: str, id_type: str = "long", buckets: i
     return Store(spark, path, {"texts": Table(f"id {id_type}, text string", "id"), "lists": Table(f"gram string, part int, n long, ids array<{id_type}>", "gram")}, buckets)
 
 
+_BITS = 21  # of a code point
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, part, ids) of a task's texts (part, id, text), some texts at a time; each id once."""
+    for some, points, begin in groups(batches):
+        points = points.astype(np.uint64)
+        code = points[:-2] << np.uint64(2 * _BITS) | points[1:-1] << np.uint64(_BITS) | points[2:]
+        text = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(points))))
+        whole = (text[:-2] == text[2:]) & (points[2:] != 0x110000)
+        seen, number = np.unique(code[whole], return_inverse=True)
+        each = np.unique(number * len(begin) + text[:-2][whole])  # a gram and a text, once
+        gram, row = each // len(begin), each % len(begin)
+        part = some.column(0).to_numpy()[row]
+        order = np.lexsort((part, gram))
+        gram, row, part = gram[order], row[order], part[order]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(part) != 0)])) if len(gram) else gram
+        kinds = seen[gram[starts]]
+        mask = np.uint64((1 << _BITS) - 1)
+        three = np.stack([kinds >> np.uint64(2 * _BITS), kinds >> np.uint64(_BITS) & mask, kinds & mask], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(gram)), pa.int32()), some.column(1).take(pa.array(row)))
+        yield pa.RecordBatch.from_arrays([pa.array([three[i : i + 3] for i in range(0, len(three), 3)], pa.string()), pa.array(part[starts], pa.int32()), lists], ["gram", "part", "ids"])
+
+
 def add(store: Store, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Appends texts whose ids are new to the index; null texts have no trigrams and are never found."""
     rows = written(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"), "indexed")
     parts = max(1, -(-rows.count() // PART))
-    each = rows.select("id", F.explode(F.array_distinct(grams(F.lower("text"), 3))).alias("gram"))
-    lists = each.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", F.lower("text").alias("text")).mapInArrow(_grams, f"gram string, part int, ids array<{kind}>")
+    lists = some.groupBy("gram", "part").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     store.append({"texts": rows, "lists": lists.select("gram", "part", F.size("ids").cast("long").alias("n"), "ids")})
 
 

@@ -62,6 +62,14 @@ def test_containment_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_lists_are_gathered_before_the_shuffle():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 1, 0, 0, 0], pa.int32()), pa.array([5, 6, 7, 8, 9]), pa.array(["aaaab", "aaa", "aaa\x00", None, "é𝒳"])], ["part", "id", "text"])
+    got = sorted((r["gram"], r["part"], sorted(r["ids"])) for b in trigrams._grams(iter([rows])) for r in b.to_pylist())
+    assert got == [("aa\x00", 0, [7]), ("aaa", 0, [5, 7]), ("aaa", 1, [6]), ("aab", 0, [5])]
+
+
 # --- trigram index ----------------------------------------------------------------------------------
 
 
