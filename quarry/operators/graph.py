@@ -8,6 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+#: Rows of which a task finds the distinct ones, about: tasks grow in number with the edges, not in size.
+ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` by its keys over a task for every ``ROWS`` rows, where these are more tasks than the session's."""
+    tasks = -(-rows // ROWS)
+    return df.repartition(tasks, *by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
 
 def _named(symbols: DataFrame, prefix: str) -> DataFrame:
     return symbols.select(F.col("symbol_type").alias(f"{prefix}_type"), F.col("entity_id").alias(f"{prefix}_id"), F.col("symbol_name").alias(f"{prefix}_name"))
@@ -57,10 +68,18 @@ def path(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, str], final: Da
 
 
 def neighbours(edges: DataFrame, symbols: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Counts of incoming and outgoing edges and of distinct neighbours, for each wanted symbol."""
-    out_ = of_symbols(edges, wanted, "source").select(F.col("source_type").alias("symbol_type"), F.col("source_id").alias("entity_id"), F.col("target_type").alias("n_type"), F.col("target_id").alias("n_id"), F.lit(0).alias("incoming"), F.lit(1).alias("outgoing"))
-    in_ = of_symbols(edges, wanted, "target").select(F.col("target_type").alias("symbol_type"), F.col("target_id").alias("entity_id"), F.col("source_type").alias("n_type"), F.col("source_id").alias("n_id"), F.lit(1).alias("incoming"), F.lit(0).alias("outgoing"))
-    per = out_.unionByName(in_).groupBy("symbol_type", "entity_id").agg(F.sum("incoming").alias("incoming"), F.sum("outgoing").alias("outgoing"), F.countDistinct("n_type", "n_id").alias("neighbours"))
+    """Counts of incoming and outgoing edges and of distinct neighbours, for each wanted symbol.
+
+    Edges without an end of a wanted type are left out first: that prunes whole branches of the edge view, and nothing
+    of them is sorted or shuffled for the joins."""
+    types = [r[0] for r in wanted.select("symbol_type").distinct().collect()]  # kinds of symbols, not symbols
+    out_ = of_symbols(edges.where(F.col("source_type").isin(types)), wanted, "source").select(F.col("source_type").alias("symbol_type"), F.col("source_id").alias("entity_id"), F.col("target_type").alias("n_type"), F.col("target_id").alias("n_id"), F.lit(0).alias("incoming"), F.lit(1).alias("outgoing"))
+    in_ = of_symbols(edges.where(F.col("target_type").isin(types)), wanted, "target").select(F.col("target_type").alias("symbol_type"), F.col("target_id").alias("entity_id"), F.col("source_type").alias("n_type"), F.col("source_id").alias("n_id"), F.lit(1).alias("incoming"), F.lit(0).alias("outgoing"))
+    both = written(out_.unionByName(in_), "ends")
+    by = ["symbol_type", "entity_id", "n_type", "n_id"]
+    pairs = dealt(both, both.count(), *by).groupBy(*by).agg(F.sum("incoming").alias("incoming"), F.sum("outgoing").alias("outgoing"))
+    known = F.col("n_type").isNotNull() & F.col("n_id").isNotNull()
+    per = pairs.groupBy("symbol_type", "entity_id").agg(F.sum("incoming").alias("incoming"), F.sum("outgoing").alias("outgoing"), F.count_if(known).alias("neighbours"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return wanted.join(per, ["symbol_type", "entity_id"], "left").select(*wanted.columns, zero("incoming"), zero("outgoing"), zero("neighbours"))
 

@@ -21,14 +21,17 @@ def _edge(df: DataFrame, source: str, sid: str, target: str, tid: str, kind: str
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polymorphic edges.  Each branch reads two or three columns; a filter on a type prunes whole branches."""
+    from ..operators.graph import dealt
+
     t = lambda n: read(spark, sf_dir, n)
+    lines = t("lineitem").select("l_partkey", "l_suppkey")
     return reduce(DataFrame.unionByName, [
         _edge(t("customer"), "customer", "c_custkey", "nation", "c_nationkey", "located_in"),
         _edge(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "located_in"),
         _edge(t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "part_of"),
         _edge(t("orders"), "order", "o_orderkey", "customer", "o_custkey", "placed_by"),
         _edge(t("lineitem"), "order", "l_orderkey", "part", "l_partkey", "contains_part", "l_linenumber"),
-        _edge(t("lineitem").select("l_partkey", "l_suppkey").distinct(), "part", "l_partkey", "supplier", "l_suppkey", "supplied_by"),
+        _edge(dealt(lines, lines.count(), "l_partkey", "l_suppkey").distinct(), "part", "l_partkey", "supplier", "l_suppkey", "supplied_by"),
     ])
 
 
