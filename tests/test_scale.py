@@ -135,3 +135,23 @@ def test_offsets_of_a_text_of_20_mb(spark):
     df = spark.createDataFrame([(1, "ab é", 1_000_000)], "id long, s string, n int").select("id", F.concat(F.repeat("s", F.col("n")), F.repeat(F.lit("x"), 15_000_000), F.lit("ab")).alias("text"))
     got = text.offsets(df, ["ab"], ["id"]).select(F.explode("offsets").alias("o")).agg(F.count("o").alias("n"), F.max("o").alias("last"), F.sum("o").alias("s")).first()
     assert got.n == 1_000_001 and got.last == len(body.encode()) - 2 and got.s == sum(5 * i for i in range(1_000_000)) + got.last
+
+
+# --- tasks grow in number with the rows -----------------------------------------------------------------
+
+
+def test_neighbours_and_counters_are_dealt_by_rows(spark, monkeypatch):
+    from quarry.operators import graph
+    from quarry.streaming import counters
+
+    monkeypatch.setattr(graph, "ROWS", 100)
+    edges = spark.createDataFrame([("a", i % 7, "b" if i % 11 else None, i % 50) for i in range(2000)], "source_type string, source_id long, target_type string, target_id long")
+    symbols = spark.createDataFrame([("a", i, f"a{i}") for i in range(9)], "symbol_type string, entity_id long, symbol_name string")
+    got = {r.entity_id: (r.incoming, r.outgoing, r.neighbours) for r in graph.neighbours(edges, symbols, symbols).collect()}
+    own = lambda s: [i for i in range(2000) if i % 7 == s]
+    assert got == {s: (0, len(own(s)), len({i % 50 for i in own(s) if i % 11})) for s in range(9)}
+    assert "REPARTITION_BY_NUM, " in graph.dealt(edges, 2000, "source_id")._jdf.queryExecution().executedPlan().toString()
+    events = spark.range(300).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.lit(50.0).alias("value"), F.concat(F.lit("t"), F.col("id") % 3).alias("event_type"))
+    counted = counters.batch_counts(events, F.col("event_type"), 9)
+    assert "hashpartitioning(name" in (plan := counted._jdf.queryExecution().executedPlan().toString()) and ", 9), REPARTITION_BY_NUM" in plan
+    assert {(r.name, r.games_count, r.annotation) for r in counted.collect()} == {(f"t{k}", 100, f"t{k}") for k in range(3)}
