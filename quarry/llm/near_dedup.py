@@ -25,9 +25,11 @@ No bucket is expanded into its pairs and none is capped:
    and the rest is aligned.
 4. A larger bucket whose members are not all joined by then has its other pairs
    searched exactly: texts that align within the threshold have a word in common
-   among the rarest of each, so the members meet by bucket and rare word
-   (``_crowd_pairs``), and what is not joined yet is aligned.  No pair of a
-   bucket that aligns is lost, however full the bucket is.
+   among the rarest of each, so the members meet by rare word, in any bucket, and
+   a pair is kept at its first common word alone, where enough words are left for
+   the threshold (``_meetings``).  What is not joined yet is aligned, in tiles of
+   two blocks of texts.  No pair of a bucket that aligns is lost, however full the
+   bucket is.
 
 Only small rows (key, node) and (node, node) are shuffled by key, and the hashed
 words of nodes that have a partner.  A node is a number given once, in a written
@@ -69,7 +71,11 @@ BANDS = (
 )
 #: Texts are sketched in blocks of about so many words.
 BLOCK = 1 << 17
+#: Texts, and words, of a block of a crowd: pairs of crowded texts are aligned by two blocks at once.
+TILE, TILE_WORDS = 32, 1 << 18
 MEMO = 100_000
+#: Texts of so many words at most are aligned by bit vectors where more edits than so many are allowed.
+BITS, FEW_EDITS = 8192, 8
 #: Lowest bits of a node: 16 times the binary logarithm of its number of words.
 LENGTH_BITS, STEPS = 10, 16
 
@@ -182,8 +188,31 @@ def text_keys(h: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _edits_by_bits(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
+    """The same by bit vectors (Myers): a column of differences between neighbours is two whole numbers."""
+    places: dict[int, int] = {}
+    for i, word in enumerate(x.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    n, m = len(x), len(y)
+    whole, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = whole, 0, n
+    for j, word in enumerate(y.tolist(), 1):
+        same = places.get(word, 0)
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | (~(level | up) & whole), up & level
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        if score - (m - j) > most:
+            return None
+        more, same = (more << 1 | 1) & whole, same | down
+        up, down = (less << 1 & whole) | (~(same | more) & whole), more & same
+    return score if score <= most else None
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Word edit distance if at most ``most``: furthest-reaching points on the diagonals of the band."""
+    """Word edit distance if at most ``most``: furthest-reaching points on the diagonals of the band; by bit vectors where many edits are allowed."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
@@ -200,6 +229,8 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         n, m = len(x), len(y)
     if not n:
         return m if m <= most else None
+    if most > FEW_EDITS and m <= BITS:
+        return _edits_by_bits(x, y, most)
     gaps: dict[int, list[int]] = {}
 
     def slide(d: int, i: int) -> int:
@@ -340,11 +371,8 @@ def _pairs(met: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.inline(ends)).where("u < v").where(_near_lengths(threshold)).distinct()
 
 
-def _labelled_words(texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, rarest, word): every word of a text, told apart by its occurrence, and how many of the rarest decide.
-
-    Two texts within the threshold have all but ``most`` words of the longer in common, counted; so in any one order
-    of the words they have one in common among the first ``most`` + 1 of each, ``most`` by its own length."""
+def _labelled_words(texts: DataFrame) -> DataFrame:
+    """(node, size, word): every word of a text, told apart by its occurrence, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,28 +380,90 @@ def _labelled_words(texts: DataFrame, threshold: float) -> DataFrame:
                 h = np.frombuffer(column.as_buffer(), np.uint64)
                 with np.errstate(over="ignore"):
                     found = _labels(_mix(h), np.zeros(len(h), np.uint64)).view(np.int64)
-                rarest = int((1 - threshold) * len(h) + 1e-9) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), rarest, np.int32)), pa.array(found)], ["node", "rarest", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), len(h), np.int32)), pa.array(found)], ["node", "size", "word"])
+
+    return texts.select("node", "words").transform(in_arrow, run, "node long, size int, word long")
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(node, bits 0 to 7): a set of 512 bits, one for each word of the text as ``_labelled_words`` tells them apart."""
+    names = [f"bits{i}" for i in range(8)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, 512), bool)
+            for row, column in zip(bits, batch.column(1)):
+                h = np.frombuffer(column.as_buffer(), np.uint64)
+                with np.errstate(over="ignore"):
+                    row[(_labels(_mix(h), np.zeros(len(h), np.uint64)) >> np.uint64(55)).astype(np.int64)] = True
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(packed[:, i]) for i in range(8)]], ["node", *names])
+
+    return texts.select("node", "words").transform(in_arrow, run, "node long, " + ", ".join(f"{n} long" for n in names))
+
 
-    return texts.select("node", "words").transform(in_arrow, run, "node long, rarest int, word long")
+def _lacks(x: str, y: str) -> Column:
+    """Words of x, at least, that y lacks: bits of x that y has no word for."""
+    return sum((F.bit_count(F.col(f"{x}_bits{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_bits{i}")))) for i in range(8)), F.lit(0))
 
 
-def _crowd_pairs(crowd: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(u, v), u < v: the pairs of each bucket of ``crowd`` (key, node) that no link joins so far and that may align.
+def _meetings(crowd: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(word, node, label, size, needed, left, before, bits): the rare words by which nodes of ``crowd`` (key, node) with several labels meet.
 
-    Exact: only pairs without a common word among the rarest of each are left out, and those can't align."""
-    several = lambda df, *by: df.groupBy(*by).agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(*by)
+    Two texts within the threshold have ``needed`` words of the longer in common, counted.  In the order of all words by
+    their number of texts, nothing before the first common word is common: so either text has ``needed`` words ``left``
+    from there on, and the words right ``before`` it differ."""
+    several = lambda df, by: df.groupBy(by).agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(by)
     named = cut(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd-labels")
-    members = cut(named.join(several(named, "key"), "key"), "crowd")
-    found = cut(_labelled_words(texts.join(members.select("node").distinct(), "node", "left_semi"), threshold), "crowd-words")
+    members = cut(named.join(several(named, "key"), "key").select("node", "label").distinct(), "crowd")
+    found = cut(_labelled_words(texts.join(members, "node", "left_semi")), "crowd-words")
     seen = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "word"))
-    rare = found.join(seen, "word").withColumn("place", place).where("place <= rarest and n > 1").select("node", "word")
-    rows = cut(members.join(rare, "node"), "crowd-rare")
-    rows = cut(rows.join(several(rows, "key", "word"), ["key", "word"]), "crowd-meetings")
-    ends = [rows.select("key", "word", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in "uv"]
-    both = ends[0].join(ends[1], ["key", "word"]).where("u < v and u_label != v_label")
-    return both.where(_near_lengths(threshold)).select("u", "v").distinct()
+    order = Window.partitionBy("node").orderBy("n", "word")
+    needed = F.col("size") - F.floor((1 - threshold) * F.col("size") + 1e-9).cast("int")
+    placed = found.join(seen, "word").withColumn("needed", needed).withColumn("left", F.col("size") - F.row_number().over(order) + 1).withColumn("before", F.lag("word").over(order))
+    rare = placed.where("left >= needed and n > 1").drop("n")
+    rows = cut(rare.join(members, "node"), "crowd-rare")
+    bits = cut(_signatures(texts.join(members, "node", "left_semi")), "crowd-bits")
+    return cut(rows.join(several(rows, "word"), "word").join(bits, "node"), "crowd-meetings")
+
+
+def _crowd_pairs(meetings: DataFrame) -> DataFrame:
+    """(u, v), u < v: the pairs that no link joins so far and that may align.
+
+    Exact: a pair that aligns stands at its first common word, and neither text lacks more words of the other than the threshold allows."""
+    ends = [meetings.select("word", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in meetings.columns if c not in ("word", "node")]) for x in "uv"]
+    both = ends[0].join(ends[1], "word").where("u < v and u_label != v_label and coalesce(u_before != v_before, true)")
+    common = [F.col("u_left"), F.col("v_left"), F.col("u_size") - _lacks("u", "v"), F.col("v_size") - _lacks("v", "u")]
+    return both.where(F.least(*common) >= F.greatest("u_needed", "v_needed")).select("u", "v").distinct()
+
+
+def _blocks(meetings: DataFrame) -> DataFrame:
+    """(node, block): nodes that meet at the same word, some ``TILE`` or ``TILE_WORDS`` words a block; those of a large class apart from the others."""
+    met = meetings.groupBy("word").agg(F.count(F.lit(1)).alias("met"))
+    often = meetings.join(met, "word").groupBy("node").agg(F.max(F.struct("met", "word")).alias("often"), F.first("label").alias("label"), F.first("size").alias("size"))
+    rows = cut(often.select("node", F.col("often.word").alias("word"), "label", "size"), "crowd-often")
+    parts = rows.groupBy("word", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    parts = parts.withColumn("large", F.when(F.col("n") >= TILE, F.col("label")))
+    cuts = F.ceil(F.greatest(F.sum("n") / TILE, F.sum("words") / TILE_WORDS))
+    sizes = parts.groupBy("word", "large").agg(cuts.alias("cuts"))
+    named = rows.join(parts.select("word", "label", "large"), ["word", "label"])
+    same = (named["word"] == sizes["word"]) & named["large"].eqNullSafe(sizes["large"])
+    return named.join(sizes, same).select("node", F.xxhash64(named["word"], named["large"], F.pmod(F.xxhash64("node"), "cuts")).alias("block"))
+
+
+def _aligned_in_tiles(pairs: DataFrame, texts: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """The (u, v) pairs whose words align, by tiles of two blocks: a text goes to a tile once, not to each of its pairs."""
+    of = [blocks.select(F.col("node").alias(x), F.col("block").alias(f"{x}_block")) for x in "uv"]
+    tile = F.xxhash64(F.least("u_block", "v_block"), F.greatest("u_block", "v_block"))
+    dealt = cut(pairs.join(of[0], "u").join(of[1], "v").select(tile.alias("tile"), "u", "v"), "crowd-tiles")
+    nodes = dealt.select(F.col("tile").alias("at"), F.col("u").alias("node")).union(dealt.select(F.col("tile").alias("at"), F.col("v").alias("node"))).distinct()
+
+    def run(some: pa.Table, texts: pa.Table) -> pa.Table:
+        words = {n: np.frombuffer(w.as_buffer(), np.uint64) for n, w in zip(texts["node"].to_pylist(), texts["words"])}
+        good = [similar(words[u], words[v], threshold) for u, v in zip(some["u"].to_pylist(), some["v"].to_pylist())]
+        return some.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return dealt.groupBy("tile").cogroup(nodes.join(texts, "node").select("at", "node", "words").groupBy("at")).applyInArrow(run, "u long, v long")
 
 
 def _words_of(docs: DataFrame, nodes: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -425,9 +515,9 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresho
     rest = pairs.join(heads, "v").where("u != tried").join(leads, "u", "left").where("coalesce(u_head, u) != v_head").select("u", "v")
     more = cut(_aligned(rest, texts, threshold), "other-partners")
     found = first.union(more).where("good").select("u", "v")
-    left = _crowd_pairs(crowd, texts, components(found), threshold).join(pairs, ["u", "v"], "left_anti")
-    last = cut(_aligned(left, texts, threshold), "crowd-partners")
-    return found.union(last.where("good").select("u", "v"))
+    meetings = _meetings(crowd, texts, components(found), threshold)
+    left = _crowd_pairs(meetings).join(pairs, ["u", "v"], "left_anti")
+    return found.union(cut(_aligned_in_tiles(left, texts, _blocks(meetings), threshold), "crowd-partners"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:

@@ -458,6 +458,41 @@ def test_near_dedup_links_all_pairs_of_a_bucket(spark):
     assert len({(at[i], want[i]) for i in range(len(texts))}) == len(set(at.values())) == len(set(want)) <= len(bases)
 
 
+def test_alignment_of_long_texts(monkeypatch):
+    r = random.Random(12)
+    pairs = []
+    for _ in range(30):
+        a = [r.randrange(400) for _ in range(r.randint(60, 300))]
+        b = edited(r, a, int(r.uniform(0.05, 0.4) * len(a)), list(range(400)))
+        del b[: r.randint(0, 9)]
+        pairs.append((np.array(a, np.uint64), np.array(b, np.uint64), r.randint(9, 90)))
+    got = [near_dedup.edits_within(*p) for p in pairs]
+    monkeypatch.setattr(near_dedup, "BITS", 0)
+    assert got == [near_dedup.edits_within(*p) for p in pairs] and None in got and len(set(got)) > 5
+
+
+def test_near_dedup_crowd_pairs_are_few_and_whole(spark, monkeypatch):
+    """A crowd that shares most of a passage: each pair that aligns is found once, and pairs don't come by each word and bucket that they share."""
+    r = random.Random(11)
+    fresh = iter(range(10**6))
+    passage = [f"p{i}" for i in range(80)]
+    texts = [passage[: 80 - i % 24] + [f"f{next(fresh)}" for _ in range(18)] for i in range(120)]
+    bases = [[r.choice(passage) for _ in range(60)] + [f"f{next(fresh)}" for _ in range(60)] for _ in range(6)]
+    texts += [edited(r, b, 15, passage) for b in bases for _ in range(3)]
+    hashes = [near_dedup.word_hashes(" ".join(t)) for t in texts]
+    table = spark.createDataFrame([(i, h.tobytes()) for i, h in enumerate(hashes)], "node long, words binary")
+    crowd = table.selectExpr("explode(array(7L, 8L, 9L)) as key", "node")
+    meetings = near_dedup._meetings(crowd, table, spark.createDataFrame([], "node long, label long"), near_dedup.SIMILARITY)
+    pairs = near_dedup._crowd_pairs(meetings)
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.similar(hashes[i], hashes[j])}
+    found = {tuple(x) for x in pairs.collect()}
+    assert want and want <= found and len(found) < len(want) + len(texts) * (len(texts) - 1) // 4
+    for tile in (2, 32):
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+        aligned = [tuple(x) for x in near_dedup._aligned_in_tiles(pairs, table, near_dedup._blocks(meetings), near_dedup.SIMILARITY).collect()]
+        assert sorted(aligned) == sorted(want)
+
+
 def test_near_dedup_odd(spark):
     assert near_dedup.classes(docs_of(spark, ODD).limit(0)).count() == 0
     out = near_dedup.keep_one(docs_of(spark, ODD))
