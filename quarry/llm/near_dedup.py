@@ -14,7 +14,7 @@ Links are texts whose words align with an edit similarity of 0.8 or more:
 1 - (word edits) / (words of the longer), computed in the band of diagonals that
 the threshold allows.  Classes are the connected components of the links.
 
-No bucket is expanded into its pairs and none is capped:
+No full bucket is expanded into its pairs and none is capped:
 
 1. Texts of the same words are one node from the start.
 2. In each bucket (equal sketch) every member meets the bucket's first and last
@@ -24,12 +24,14 @@ No bucket is expanded into its pairs and none is capped:
    partner; of the other pairs those already joined through such a link go too,
    and the rest is aligned.
 4. A larger bucket whose members are not all joined by then has its other pairs
-   searched exactly: texts that align within the threshold have a word in common
-   among the rarest of each, so the members meet by rare word, in any bucket, and
-   a pair is kept at its first common word alone, where enough words are left for
-   the threshold (``_meetings``).  What is not joined yet is aligned, in tiles of
-   two blocks of texts.  No pair of a bucket that aligns is lost, however full the
-   bucket is.
+   searched exactly.  Members without one of another label and a like length are
+   done.  Up to ``SMALL`` nodes give their pairs themselves.  In fuller buckets
+   texts that align within the threshold have a word in common among the rarest
+   of each, so the members meet by rare word, in any bucket, and a pair is kept
+   where none of the words right before is common and enough words are left for
+   the threshold (``_meetings``).  Pairs whose words differ in too many places go
+   (``_close``); what is left is aligned, in tiles of two blocks of texts.  No
+   pair of a bucket that aligns is lost, however full the bucket is.
 
 Only small rows (key, node) and (node, node) are shuffled by key, and the hashed
 words of nodes that have a partner.  A node is a number given once, in a written
@@ -73,6 +75,10 @@ BANDS = (
 BLOCK = 1 << 17
 #: Texts, and words, of a block of a crowd: pairs of crowded texts are aligned by two blocks at once.
 TILE, TILE_WORDS = 32, 1 << 18
+#: A bucket of so many nodes at most gives its other pairs itself.
+SMALL = 16
+#: Words before a rare word that are compared, so that a pair is seldom met again at a later common word; bits a word of a text's parities.
+BEFORE, PARITY_BITS = 16, 4
 MEMO = 100_000
 #: Texts of so many words at most are aligned by bit vectors where more edits than so many are allowed.
 BITS, FEW_EDITS = 8192, 8
@@ -353,16 +359,25 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("node", F.shiftleft(fits, LENGTH_BITS) + rough.cast("long"))
 
 
+def _steps(threshold: float) -> int:
+    """How far the rough lengths of two texts within the threshold are apart at most."""
+    return math.ceil(STEPS * math.log2(1 / threshold)) + 1
+
+
+def _rough(node: str) -> Column:
+    return F.col(node).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+
+
 def _near_lengths(threshold: float) -> Column:
-    rough = lambda c: F.col(c).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
-    return F.abs(rough("u") - rough("v")) <= math.ceil(STEPS * math.log2(1 / threshold)) + 1
+    return F.abs(_rough("u") - _rough("v")) <= _steps(threshold)
 
 
 def _met(nodes: DataFrame) -> DataFrame:
     """(key, node, low, high, members): the nodes of every bucket of two or more, with its first and its last one."""
     rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    stars = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-    return rows.join(stars, "key").select("key", "node", "low", "high", "members")
+    bucket = Window.partitionBy("key")  # keys and nodes are shuffled once, and a full bucket's rows spill
+    stars = rows.select("key", "node", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.count(F.lit(1)).over(bucket).alias("members"))
+    return stars.where("low < high")
 
 
 def _pairs(met: DataFrame, threshold: float) -> DataFrame:
@@ -372,17 +387,32 @@ def _pairs(met: DataFrame, threshold: float) -> DataFrame:
 
 
 def _labelled_words(texts: DataFrame) -> DataFrame:
-    """(node, size, word): every word of a text, told apart by its occurrence, and their number."""
+    """(node, label, size, word): every word of a text (node, label, words), told apart by its occurrence, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, column in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for node, label, column in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 h = np.frombuffer(column.as_buffer(), np.uint64)
                 with np.errstate(over="ignore"):
                     found = _labels(_mix(h), np.zeros(len(h), np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), len(h), np.int32)), pa.array(found)], ["node", "size", "word"])
+                columns = [np.full(len(h), node), np.full(len(h), label), np.full(len(h), len(h), np.int32), found]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "label", "size", "word"])
+
+    return texts.select("node", "label", "words").transform(in_arrow, run, "node long, label long, size int, word long")
+
+
+def _parities(marks: np.ndarray) -> np.ndarray:
+    """Bits, four or more for each of a text's words as ``_labelled_words`` tells them apart, a power of two in all: whether a place has an odd number of them."""
+    size = max(64, 1 << (PARITY_BITS * max(1, len(marks)) - 1).bit_length())
+    return np.packbits(np.bincount((marks & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.uint64)
 
-    return texts.select("node", "words").transform(in_arrow, run, "node long, size int, word long")
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Words, at least, that one of two texts has and the other lacks, by their ``_parities``; more places fold into fewer."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
@@ -407,24 +437,40 @@ def _lacks(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"{x}_bits{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_bits{i}")))) for i in range(8)), F.lit(0))
 
 
+def _with_others(rows: DataFrame, by: str, rough: Column, threshold: float) -> DataFrame:
+    """The rows (label, ...) that have one of another label at the same ``by`` whose ``rough`` length allows the threshold; where
+    rows tell the words ``left`` and ``needed``, one that leaves as many as either text needs."""
+    placed = rows.withColumn("rough", rough)
+    ends = {"least": F.min("needed"), "most": F.max("left")} if "left" in rows.columns else {}
+    cells = placed.groupBy(by, "rough").agg(F.min("label").alias("l"), F.max("label").alias("h"), *[x.alias(n) for n, x in ends.items()])
+    # as many as there are rough lengths, at most
+    near = cells.groupBy(by).agg(F.collect_list(F.struct("rough", "l", "h", *ends)).alias("near")).where("array_min(near.l) < array_max(near.h)")
+    fits = f"abs(x.rough - rough) <= {_steps(threshold)} and (x.l < label or x.h > label)" + (" and x.most >= needed and x.least <= left" if ends else "")
+    return placed.join(near, by).where(f"exists(near, x -> {fits})").select(*rows.columns)
+
+
+def _labelled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    return crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _meetings(crowd: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(word, node, label, size, needed, left, before, bits): the rare words by which nodes of ``crowd`` (key, node) with several labels meet.
 
     Two texts within the threshold have ``needed`` words of the longer in common, counted.  In the order of all words by
     their number of texts, nothing before the first common word is common: so either text has ``needed`` words ``left``
-    from there on, and the words right ``before`` it differ."""
+    from there on, and none of the words ``before`` it, of which the last ``BEFORE`` are kept, is the other's."""
     several = lambda df, by: df.groupBy(by).agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select(by)
-    named = cut(crowd.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd-labels")
+    named = cut(_labelled(crowd, labels), "crowd-labels")
     members = cut(named.join(several(named, "key"), "key").select("node", "label").distinct(), "crowd")
-    found = cut(_labelled_words(texts.join(members, "node", "left_semi")), "crowd-words")
-    seen = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("node").orderBy("n", "word")
+    found = cut(_labelled_words(texts.join(members, "node")), "crowd-words")
+    seen = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "word")
     needed = F.col("size") - F.floor((1 - threshold) * F.col("size") + 1e-9).cast("int")
-    placed = found.join(seen, "word").withColumn("needed", needed).withColumn("left", F.col("size") - F.row_number().over(order) + 1).withColumn("before", F.lag("word").over(order))
-    rare = placed.where("left >= needed and n > 1").drop("n")
-    rows = cut(rare.join(members, "node"), "crowd-rare")
+    placed = found.join(seen, "word", "left").withColumn("needed", needed).withColumn("left", F.col("size") - F.row_number().over(order) + 1)
+    placed = placed.withColumn("before", F.collect_list(F.when(F.col("n") > 1, F.col("word"))).over(order.rowsBetween(-BEFORE, -1)))
+    rows = cut(placed.where("left >= needed and n > 1").drop("n"), "crowd-rare")
     bits = cut(_signatures(texts.join(members, "node", "left_semi")), "crowd-bits")
-    return cut(rows.join(several(rows, "word"), "word").join(bits, "node"), "crowd-meetings")
+    return cut(_with_others(rows, "word", F.floor(F.log2("size") * STEPS), threshold).join(bits, "node"), "crowd-meetings")
 
 
 def _crowd_pairs(meetings: DataFrame) -> DataFrame:
@@ -432,11 +478,51 @@ def _crowd_pairs(meetings: DataFrame) -> DataFrame:
 
     Exact: a pair that aligns stands at its first common word, and neither text lacks more words of the other than the threshold allows."""
     ends = [meetings.select("word", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in meetings.columns if c not in ("word", "node")]) for x in "uv"]
-    both = ends[0].join(ends[1], "word").where("u < v and u_label != v_label and coalesce(u_before != v_before, true)")
+    both = ends[0].join(ends[1], "word").where("u < v and u_label != v_label and not arrays_overlap(u_before, v_before)")
     common = [F.col("u_left"), F.col("v_left"), F.col("u_size") - _lacks("u", "v"), F.col("v_size") - _lacks("v", "u")]
     return both.where(F.least(*common) >= F.greatest("u_needed", "v_needed")).select("u", "v").distinct()
 
 
+def _with_parities(texts: DataFrame) -> DataFrame:
+    """(node, size, parities)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, made = [], []
+            for column in batch.column(1):
+                h = np.frombuffer(column.as_buffer(), np.uint64)
+                with np.errstate(over="ignore"):
+                    made.append(_parities(_labels(_mix(h), np.zeros(len(h), np.uint64))).tobytes())
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(made, pa.binary())], ["node", "size", "parities"])
+
+    return texts.select("node", "words").transform(in_arrow, run, "node long, size int, parities binary")
+
+
+def _close(pairs: DataFrame, parities: DataFrame, threshold: float) -> DataFrame:
+    """The (u, v) pairs but those whose parities tell that more words differ than the threshold allows: those don't align."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        for batch in batches:
+            good = []
+            for n, m, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                longest = max(n, m)
+                needed = longest - int((1 - threshold) * longest + 1e-9)
+                good.append(_apart(bits(a), bits(b)) <= n + m - 2 * needed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    ends = [parities.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("parities").alias(f"{x}_parities")) for x in "uv"]
+    both = pairs.join(ends[0], "u").join(ends[1], "v").select("u", "v", "u_size", "v_size", "u_parities", "v_parities")
+    return both.transform(in_arrow, run, "u long, v long")
+
+
+def _small_pairs(small: DataFrame, threshold: float) -> DataFrame:
+    """(u, v), u < v: the pairs of buckets (key, node, label) of ``SMALL`` nodes at most that no link joins so far and whose lengths allow the threshold."""
+    ends = [small.select("key", F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in "uv"]
+    return ends[0].join(ends[1], "key").where("u < v and u_label != v_label").where(_near_lengths(threshold)).select("u", "v").distinct()
+
+
 def _blocks(meetings: DataFrame) -> DataFrame:
     """(node, block): nodes that meet at the same word, some ``TILE`` or ``TILE_WORDS`` words a block; those of a large class apart from the others."""
     met = meetings.groupBy("word").agg(F.count(F.lit(1)).alias("met"))
@@ -505,7 +591,7 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresho
     """(u, v) links whose components are those of all pairs of a bucket that align."""
     met = cut(_met(nodes), "met")
     pairs = cut(_pairs(met, threshold), "pairs")
-    crowd = met.where("members > 3").select("key", "node")
+    crowd = met.where("members > 3").select("key", "node", "members")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).union(crowd.select("node")).distinct()
     texts = cut(_words_of(docs, nodes, wanted, id_col, text_col), "words")
     first = cut(_aligned(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts, threshold), "first-partners")
@@ -515,9 +601,16 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresho
     rest = pairs.join(heads, "v").where("u != tried").join(leads, "u", "left").where("coalesce(u_head, u) != v_head").select("u", "v")
     more = cut(_aligned(rest, texts, threshold), "other-partners")
     found = first.union(more).where("good").select("u", "v")
-    meetings = _meetings(crowd, texts, components(found), threshold)
-    left = _crowd_pairs(meetings).join(pairs, ["u", "v"], "left_anti")
-    return found.union(cut(_aligned_in_tiles(left, texts, _blocks(meetings), threshold), "crowd-partners"))
+    labels = components(found)
+    others = cut(_with_others(cut(_labelled(crowd, labels), "crowd-buckets"), "key", _rough("node"), threshold), "crowd-others")
+    meetings = _meetings(others.where(F.col("members") > SMALL).select("key", "node"), texts, labels, threshold)
+    small = cut(_small_pairs(others.where(F.col("members") <= SMALL), threshold).join(pairs, ["u", "v"], "left_anti"), "small-pairs")
+    large = cut(_crowd_pairs(meetings).join(pairs, ["u", "v"], "left_anti"), "large-pairs")
+    met = small.union(large).select(F.explode(F.array("u", "v")).alias("node"))
+    parities = cut(_with_parities(texts.join(met, "node", "left_semi")), "parities")
+    of_small = cut(_aligned(_close(small, parities, threshold), texts, threshold), "small-partners").where("good").select("u", "v")
+    of_large = cut(_aligned_in_tiles(cut(_close(large, parities, threshold), "close-pairs"), texts, _blocks(meetings), threshold), "crowd-partners")
+    return found.union(of_small).union(of_large)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:

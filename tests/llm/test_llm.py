@@ -1,6 +1,7 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -493,6 +494,39 @@ def test_near_dedup_crowd_pairs_are_few_and_whole(spark, monkeypatch):
         assert sorted(aligned) == sorted(want)
 
 
+def test_near_dedup_crowd_rows_are_few(spark):
+    """Near copies around the threshold: a pair comes at its first common word alone, and pairs whose words differ too much aren't aligned; none that aligns is lost."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    # the later texts each share a passage of a third with the crowd, in texts much longer or as long
+    texts = [edited(r, base, 26 + i % 8, [f"e{i}x{j}" for j in range(99)]) for i in range(60)]
+    texts += [[*base[:100], *(f"f{i}x{j}" for j in range(n))] for i, n in enumerate([200] * 20 + [900])]
+    hashes = [near_dedup.word_hashes(" ".join(t)) for t in texts]
+    number = [(i << near_dedup.LENGTH_BITS) + int(math.log2(len(t)) * near_dedup.STEPS) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(n, h.tobytes()) for n, h in zip(number, hashes)], "node long, words binary")
+    want = {(number[i], number[j]) for j in range(len(texts)) for i in range(j) if near_dedup.similar(hashes[i], hashes[j])}
+    labelled = table.selectExpr("7L as key", "node", "node as label")
+    others = near_dedup._with_others(labelled, "key", near_dedup._rough("node"), near_dedup.SIMILARITY)
+    assert {x.node for x in others.collect()} == set(number[:-1])
+    meetings = near_dedup._meetings(others.select("key", "node"), table, spark.createDataFrame([], "node long, label long"), near_dedup.SIMILARITY)
+    ends = [meetings.select("word", meetings.node.alias(x), meetings.before.alias(f"{x}_before")) for x in "uv"]
+    joined = ends[0].join(ends[1], "word").where("u < v and not arrays_overlap(u_before, v_before)").select("u", "v")
+    pairs = near_dedup._crowd_pairs(meetings)
+    found, close = [{tuple(x) for x in p.collect()} for p in (pairs, near_dedup._close(pairs, near_dedup._with_parities(table), near_dedup.SIMILARITY))]
+    assert want and want <= close <= found and joined.count() < 1.5 * len(texts) ** 2 / 2
+    aligned = {tuple(x)[:2] for x in near_dedup._aligned(near_dedup._small_pairs(labelled, near_dedup.SIMILARITY), table, near_dedup.SIMILARITY).where("good").collect()}
+    assert aligned == want
+
+
+def test_near_dedup_parities():
+    r = random.Random(8)
+    for n, m in [(1, 1), (5, 40), (300, 290), (300, 700)]:
+        a, b = (np.array([r.getrandbits(64) for _ in range(k)], np.uint64) for k in (n, m))
+        b[: min(n, m) // 2] = a[: min(n, m) // 2]
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert 0.6 * apart <= near_dedup._apart(near_dedup._parities(a), near_dedup._parities(b)) <= apart
+
+
 def test_near_dedup_odd(spark):
     assert near_dedup.classes(docs_of(spark, ODD).limit(0)).count() == 0
     out = near_dedup.keep_one(docs_of(spark, ODD))
