@@ -402,8 +402,8 @@ def _labelled_words(texts: DataFrame) -> DataFrame:
 
 
 def _parities(marks: np.ndarray) -> np.ndarray:
-    """Bits, four or more for each of a text's words as ``_labelled_words`` tells them apart, a power of two in all: whether a place has an odd number of them."""
-    size = max(64, 1 << (PARITY_BITS * max(1, len(marks)) - 1).bit_length())
+    """Bits, 256 at least and four or more for each of a text's words as ``_labelled_words`` tells them apart, a power of two in all: whether a place has an odd number of them."""
+    size = max(256, 1 << (PARITY_BITS * max(1, len(marks)) - 1).bit_length())
     return np.packbits(np.bincount((marks & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.uint64)
 
 
@@ -416,25 +416,25 @@ def _apart(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
-    """(node, bits 0 to 7): a set of 512 bits, one for each word of the text as ``_labelled_words`` tells them apart."""
+    """(node, bits 0 to 7): whether each of 512 places has an odd number of the text's words as ``_labelled_words`` tells them apart."""
     names = [f"bits{i}" for i in range(8)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros((batch.num_rows, 512), bool)
+            bits = np.zeros((batch.num_rows, 512), np.uint8)
             for row, column in zip(bits, batch.column(1)):
                 h = np.frombuffer(column.as_buffer(), np.uint64)
                 with np.errstate(over="ignore"):
-                    row[(_labels(_mix(h), np.zeros(len(h), np.uint64)) >> np.uint64(55)).astype(np.int64)] = True
+                    row += np.bincount((_labels(_mix(h), np.zeros(len(h), np.uint64)) >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
             packed = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(packed[:, i]) for i in range(8)]], ["node", *names])
 
     return texts.select("node", "words").transform(in_arrow, run, "node long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _lacks(x: str, y: str) -> Column:
-    """Words of x, at least, that y lacks: bits of x that y has no word for."""
-    return sum((F.bit_count(F.col(f"{x}_bits{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_bits{i}")))) for i in range(8)), F.lit(0))
+def _differ() -> Column:
+    """Words, at least, that one of u and v has and the other lacks: every such word turns one of the bits."""
+    return sum((F.bit_count(F.col(f"u_bits{i}").bitwiseXOR(F.col(f"v_bits{i}"))) for i in range(8)), F.lit(0))
 
 
 def _with_others(rows: DataFrame, by: str, rough: Column, threshold: float) -> DataFrame:
@@ -476,11 +476,11 @@ def _meetings(crowd: DataFrame, texts: DataFrame, labels: DataFrame, threshold:
 def _crowd_pairs(meetings: DataFrame) -> DataFrame:
     """(u, v), u < v: the pairs that no link joins so far and that may align.
 
-    Exact: a pair that aligns stands at its first common word, and neither text lacks more words of the other than the threshold allows."""
+    Exact: a pair that aligns stands at its first common word, and no more words differ than the threshold allows."""
     ends = [meetings.select("word", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in meetings.columns if c not in ("word", "node")]) for x in "uv"]
     both = ends[0].join(ends[1], "word").where("u < v and u_label != v_label and not arrays_overlap(u_before, v_before)")
-    common = [F.col("u_left"), F.col("v_left"), F.col("u_size") - _lacks("u", "v"), F.col("v_size") - _lacks("v", "u")]
-    return both.where(F.least(*common) >= F.greatest("u_needed", "v_needed")).select("u", "v").distinct()
+    needed = F.greatest("u_needed", "v_needed")
+    return both.where(F.least("u_left", "v_left") >= needed).where(_differ() <= F.col("u_size") + F.col("v_size") - 2 * needed).select("u", "v").distinct()
 
 
 def _with_parities(texts: DataFrame) -> DataFrame:
@@ -606,8 +606,8 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresho
     meetings = _meetings(others.where(F.col("members") > SMALL).select("key", "node"), texts, labels, threshold)
     small = cut(_small_pairs(others.where(F.col("members") <= SMALL), threshold).join(pairs, ["u", "v"], "left_anti"), "small-pairs")
     large = cut(_crowd_pairs(meetings).join(pairs, ["u", "v"], "left_anti"), "large-pairs")
-    met = small.union(large).select(F.explode(F.array("u", "v")).alias("node"))
-    parities = cut(_with_parities(texts.join(met, "node", "left_semi")), "parities")
+    near = others.where(F.col("members") <= SMALL).select("node").union(meetings.select("node")).distinct()  # no more than the members, however many pairs
+    parities = cut(_with_parities(texts.join(near, "node", "left_semi")), "parities")
     of_small = cut(_aligned(_close(small, parities, threshold), texts, threshold), "small-partners").where("good").select("u", "v")
     of_large = cut(_aligned_in_tiles(cut(_close(large, parities, threshold), "close-pairs"), texts, _blocks(meetings), threshold), "crowd-partners")
     return found.union(of_small).union(of_large)

@@ -518,6 +518,21 @@ def test_near_dedup_crowd_rows_are_few(spark):
     assert aligned == want
 
 
+def test_near_dedup_crowd_pairs_past_the_threshold_go_early(spark):
+    """Pairs that differ in some words more than the threshold allows go in the join; none that aligns is lost."""
+    r = random.Random(3)
+    texts = []
+    for i in range(100):
+        own = {p: f"e{i}x{p}" for p in r.sample(range(100), 13)}
+        texts.append([own.get(p, f"b{p}") for p in range(100)])
+    hashes = [near_dedup.word_hashes(" ".join(t)) for t in texts]
+    table = spark.createDataFrame([(i, h.tobytes()) for i, h in enumerate(hashes)], "node long, words binary")
+    meetings = near_dedup._meetings(table.selectExpr("7L as key", "node"), table, spark.createDataFrame([], "node long, label long"), near_dedup.SIMILARITY)
+    found = {tuple(x) for x in near_dedup._crowd_pairs(meetings).collect()}
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.similar(hashes[i], hashes[j])}
+    assert want and want <= found and len(found) < len(want) + len(texts) * (len(texts) - 1) // 10
+
+
 def test_near_dedup_parities():
     r = random.Random(8)
     for n, m in [(1, 1), (5, 40), (300, 290), (300, 700)]:
